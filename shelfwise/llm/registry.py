@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import exact_dedup, mixing, sharding
+from shelfwise.llm import exact_dedup, mixing, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": simhash.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op3_secret_scan": secrets.query,
     "op5_source_mixing": mixing.query,
     "op10_sharding": sharding.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op3_secret_scan": secrets.ORACLE_SQL,
     "op5_source_mixing": mixing.ORACLE_SQL,
 }
