@@ -37,7 +37,7 @@ def text_digest(text: Column) -> Column:
 def frequent_digests(keyed: DataFrame) -> DataFrame:
     """Misra-Gries: at most `HEAVY_LIMIT` candidate hashes, as a one-column frame `h`."""
     leaves = keyed.groupBy((F.spark_partition_id() % MERGE_FAN).alias("leaf")).agg(F.expr(f"approx_top_k_accumulate(xxhash64(digest), {TRACKED})").alias("summary"))
-    merged = leaves.agg(F.expr(f"approx_top_k_combine(summary, {TRACKED})").alias("summary"))
+    merged = leaves.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(summary, {TRACKED})").alias("summary"))
     items = merged.select(F.expr(f"approx_top_k_estimate(summary, {HEAVY_LIMIT})").alias("items"))
     return items.select(F.explode("items").alias("x")).where(F.col("x.count") >= HEAVY_ROWS).select(F.col("x.item").alias("h"))
 
