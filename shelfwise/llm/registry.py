@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, exact_dedup, mixing, secrets, sharding, simhash
+from shelfwise.llm import bpe, embedding_dedup, exact_dedup, html_extract, mixing, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_secret_scan": secrets.query,
     "op5_source_mixing": mixing.query,
+    "op6_embedding_dedup": embedding_dedup.query,
     "op7_bpe": bpe.query,
+    "op9_html_extraction": html_extract.query,
     "op10_sharding": sharding.query,
 }
 
