@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, embedding_dedup, exact_dedup, html_extract, mixing, secrets, sharding, simhash
+from shelfwise.llm import bpe, embedding_dedup, exact_dedup, html_extract, mixing, secrets, sharding, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": mixing.query,
     "op6_embedding_dedup": embedding_dedup.query,
     "op7_bpe": bpe.query,
+    "op8_substring_dedup": substring_dedup.query,
     "op9_html_extraction": html_extract.query,
     "op10_sharding": sharding.query,
 }
