@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.session import ensure_checkpoint_dir, settled
+
+__all__ = ["ascii_lower", "ensure_checkpoint_dir", "settled", "table", "unit_interval", "word_count"]
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
@@ -18,31 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leaves the session's checkpoint folder as it is; sets one only where none is set.
-
-    A cluster names its shared folder in ``spark.checkpoint.dir``.  Without that setting a local
-    master gets a temporary folder, any other master a folder below the warehouse, which all
-    executors share.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        if context.master.startswith("local") and not context.master.startswith("local-cluster"):
-            named = tempfile.mkdtemp(prefix="shelfwise-checkpoints-")
-        else:
-            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    context.setCheckpointDir(named)
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of `df`, computed once and read again from the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
