@@ -21,6 +21,7 @@ from shelfwise.plans.oracle import BLOCKS, CLEANED, FIXES, GOLDEN, JUDGED, LISTE
 from shelfwise.plans.projection import listing, tables
 from shelfwise.sources import listing as sources
 from shelfwise.sources import sinks
+from shelfwise.session import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,7 +41,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.checked_rows(listing(spark, sf_dir), RULES, projection.statuses(spark, sf_dir), repair=False)
+    return settled(pipeline.checked_rows(listing(spark, sf_dir), RULES, projection.statuses(spark, sf_dir), repair=False))
 
 
 def _golden(spark: SparkSession, sf_dir: str) -> DataFrame:

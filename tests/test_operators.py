@@ -7,6 +7,7 @@ from shelfwise.config import LEVELS, RuleSet, Thresholds
 from shelfwise.operators import catalogue, enrichment, golden, resolution, routing, steps
 from shelfwise.operators.components import components
 from shelfwise.plans import pipeline
+from shelfwise.session import settled
 from shelfwise.sources import listing, sinks
 from shelfwise.streaming import inbox
 
@@ -24,7 +25,7 @@ def good_statuses(spark):
 
 
 def checked(spark, *changes, statuses=True):
-    return pipeline.checked_rows(rows(spark, *changes), RuleSet.load(), good_statuses(spark) if statuses else None)
+    return settled(pipeline.checked_rows(rows(spark, *changes), RuleSet.load(), good_statuses(spark) if statuses else None))
 
 
 def codes(df):
