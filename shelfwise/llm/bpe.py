@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.llm._common import table
 
-#: Words and pretokens whose encodings a worker remembers.
+#: Unit of what a worker remembers: half as many words, twice as many pretokens, in two generations.
 MEMO = 200_000
 #: Longer pretokens are streamed and not remembered.
 MEMO_CHARS = 64
@@ -74,6 +74,12 @@ class MergeList:
         self._left: dict[str, list] = {}
         self._sound: dict[str, bool] = {}
         self._pairs: dict[tuple[str, str], bool] = {}
+        #: Sound tokens by their symbols, inside a word and at its end, and what is known of pairs of their ids.
+        sound = [t for t in self.ids if self.sound(t)]
+        self.inner = {t: self.ids[t] for t in sound if not self.suffix or not t.endswith(self.suffix)}
+        self.final = {t.removesuffix(self.suffix): self.ids[t] for t in sound if not self.suffix or t.endswith(self.suffix)}
+        self.spelling = {i: t for t, i in self.ids.items()}
+        self.known: dict[int, bool] = {}
 
     def _spine(self, token: str, side: int, memo: dict[str, list]) -> list[tuple[str, int, int]]:
         """The pieces at one edge of a token: (piece, rank that forms it, rank that uses it up), the token first."""
@@ -100,6 +106,13 @@ class MergeList:
             self._pairs[first, second] = known
         return known
 
+    def remember(self, pair: int, first: int, second: int) -> bool:
+        """`compatible` for two ids, kept under their joint number."""
+        if len(self.known) >= 4 * MEMO:
+            self.known.clear()
+        fits = self.known[pair] = self._compatible(self.spelling[first], self.spelling[second])
+        return fits
+
     def _compatible(self, first: str, second: str) -> bool:
         left, right = self._spine(first, 1, self._right), self._spine(second, 0, self._left)
         rank, i, j = self.rank, 0, 0
@@ -170,27 +183,31 @@ class Transducer:
 
     def run(self, symbols: str) -> list[int]:
         """A whole short pretoken at once: the same steps in one loop, nothing to emit before its end."""
-        merges, last = self.m, self.last
-        ids, pairs, sound, reach, n = merges.ids, merges._pairs, merges.sound, merges.lookahead, len(symbols)
+        merges, n = self.m, len(symbols)
+        reach, known, inner = merges.lookahead, merges.known, merges.inner
+        ids, froms = [0] * (n + 1), [-1] * (n + 1)
         for end in range(1, n + 1):
-            tail = merges.suffix if end == n else ""
-            found = None
+            find = (merges.final if end == n else inner).get
             for start in range(end - reach if end > reach else 0, end):
-                token = symbols[start:end] + tail
-                if token not in ids or last[start] is None:
+                token = find(symbols[start:end])
+                if token is None:
                     continue
                 if start:
-                    before = last[start][0]
-                    fits = pairs.get((before, token))
+                    if froms[start] < 0:
+                        continue
+                    pair = ids[start] << 20 | token
+                    fits = known.get(pair)
                     if fits is None:
-                        fits = merges.compatible(before, token)
+                        fits = merges.remember(pair, ids[start], token)
                     if not fits:
                         continue
-                if sound(token):
-                    found = (token, start)
-                    break
-            last.append(found)
-        return self._take(n)
+                ids[end], froms[end] = token, start
+                break
+        out, at = [], n
+        while at > 0:
+            out.append(ids[at])
+            at = froms[at]
+        return out[::-1]
 
     def _chain(self, at: int) -> list[int]:
         """The starts of the tokens that encode the prefix, from its end backwards."""
@@ -240,6 +257,25 @@ class Transducer:
         return self._take(len(self.text))
 
 
+class Memo(dict):
+    """A table of bounded size: when full, it becomes the old generation, from which what is used comes back."""
+
+    def __init__(self, make, limit: int = MEMO):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Codec:
     """Text to ids and back; each worker process has one for each vocabulary file."""
 
@@ -252,40 +288,27 @@ class Codec:
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.m.added, key=len, reverse=True))) + ")") if self.m.added else None
         self.tokens = {i: t for t, i in self.m.ids.items()} | {i: t for t, i in self.m.added.items()}
-        self.by_word: dict[str, bytes] = {}
-        self.by_pretoken: dict[str, bytes] = {}
+        self.by_word, self.by_pretoken = Memo(self._word, MEMO // 2), Memo(self._pretoken, 2 * MEMO)
 
     def _pretoken(self, pretoken: str) -> bytes:
-        known = self.by_pretoken.get(pretoken)
-        if known is None:
-            mapped = "".join(map(self.symbols.__getitem__, pretoken.encode("utf-8", "replace")))
-            machine = Transducer(self.m)
-            known = array("I", machine.run(mapped) if len(mapped) <= 4 * MEMO_CHARS else machine.feed(mapped) + machine.finish()).tobytes()
-            if len(pretoken) <= MEMO_CHARS:
-                if len(self.by_pretoken) >= MEMO:
-                    self.by_pretoken.clear()
-                self.by_pretoken[pretoken] = known
-        return known
+        mapped = "".join(map(self.symbols.__getitem__, pretoken.encode("utf-8", "replace")))
+        machine = Transducer(self.m)
+        return array("I", machine.run(mapped) if len(mapped) <= 4 * MEMO_CHARS else machine.feed(mapped) + machine.finish()).tobytes()
 
     def _word(self, word: str) -> bytes:
         plain = word if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ")
-        known = b"".join(map(self._pretoken, self.pretokens(plain.lower())))
-        if len(word) <= MEMO_CHARS:
-            if len(self.by_word) >= MEMO:
-                self.by_word.clear()
-            self.by_word[word] = known
-        return known
+        return b"".join(map(self.by_pretoken.__getitem__, self.pretokens(plain.lower())))
 
     def encode(self, text: str) -> Iterator[bytes]:
         """The ids as little-endian unsigned 32-bit integers, in pieces."""
-        get, word_ids = self.by_word.get, self._word
+        ids_of = self.by_word.__getitem__
         for k, part in enumerate(self.added.split(text) if self.added else [text]):
             if k % 2:
                 yield array("I", [self.m.added[part]]).tobytes()
                 continue
             words = iter(part.split() if not regex.search("[\x1c-\x1f]", part) else [w for w in self.spaces.split(part) if w])
             while run := list(islice(words, RUN)):
-                yield b"".join([get(w) or word_ids(w) for w in run])
+                yield b"".join(map(ids_of, run))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens' own spelling joined by a space, as a tokenizer without a decoder has it."""
