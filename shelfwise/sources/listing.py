@@ -45,9 +45,10 @@ def read_listing(spark: SparkSession, path: str, strict: bool = True) -> DataFra
     df = spark.read.schema(schema(tuple(names))).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
     df = df.withColumns({c: F.translate(F.coalesce(c, F.lit("")), "\u0000", "") for c in names})
     if strict:
-        bad = df.select("_corrupt").where(F.size(F.split(F.coalesce("_corrupt", F.lit("")), '(?:"[^"]*"|[^,"]+)*,')) > len(names)).limit(1).collect()
+        fields = F.size(F.split(F.coalesce("_corrupt", F.lit("")), '(?:"[^"]*+"|[^,"]++)*+,'))
+        bad = df.where(fields > len(names)).limit(1).collect()
         if bad:
-            raise SchemaError(f"a row has more fields than the header: {bad[0][0][:80]}")
+            raise SchemaError(f"a row has more fields than the header: {bad[0]['_corrupt'][:80]}")
         df = df.drop("_corrupt")
     return df.withColumn("row_seq", F.monotonically_increasing_id())
 
