@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfwise.functions.text import strip_all
+
 LENGTHS = (8, 12, 13, 14)
 #: Verdict -> (anomaly code, severity); ok has none.
 ANOMALIES = {
@@ -53,9 +55,15 @@ def verdict(raw: Column) -> Column:
 
     Leading zeros do not change the weighted sum, so one sum serves every repaired length.
     """
-    code = F.regexp_replace(F.coalesce(raw, F.lit("")), "^\\s+|\\s+$", "")
-    n, even = F.length(code), weighted_sum(code) % 10 == 0
-    tail, bare = F.substring(code, 2, 13), F.regexp_replace(code, "^0+", "")
+    code = strip_all(F.coalesce(raw, F.lit("")))
+    # A bound row: the sum is asked for in most branches and shall be computed once.
+    known = F.struct(code.alias("code"), F.coalesce(weighted_sum(code) % 10 == 0, F.lit(False)).alias("even"))
+    return F.get(F.transform(F.array(known), lambda row: _judged(row["code"], row["even"])), F.lit(0))
+
+
+def _judged(code: Column, even: Column) -> Column:
+    n = F.length(code)
+    tail, bare = F.substring(code, 2, 13), F.ltrim(code, F.lit("0"))
     m = F.length(bare)
     legal = n.isin(*LENGTHS)
 

@@ -9,12 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfwise.config import RuleSet
-from shelfwise.functions.text import normalize_label
+from shelfwise.functions.text import normalize_label, strip_all
 
 
 def parse_rate(raw: Column) -> Column:
     """'5,5' and '20%' as double; null where that is no number."""
-    text = F.regexp_replace(F.translate(F.regexp_replace(F.coalesce(raw, F.lit("")), "^\\s+|\\s+$", ""), ",", "."), "[%\\s]+$", "")
+    text = F.regexp_replace(F.translate(strip_all(F.coalesce(raw, F.lit(""))), ",", "."), "[%\\s]+$", "")
     return F.when(text.rlike("^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
 
 

@@ -71,7 +71,7 @@ def collapse(text: Column) -> Column:
 
 def strip_all(text: Column) -> Column:
     """Both ends without any white space."""
-    return F.regexp_replace(text, "^\\s+|\\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 QUANTITY = "(\\d+(?:[.,]\\d+)?)\\s*(KG|CL|ML|L|G|K)\\b"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfwise.functions.text import strip_all
+
 #: Scheme typo -> scheme.
 SCHEME_TYPOS = {"htp": "https", "htps": "https", "hhtp": "http", "htttp": "http"}
 _SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):"
@@ -12,7 +14,7 @@ _SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):"
 
 def repair(raw: Column) -> Column:
     """struct<url, rule>: misspelt schemes and a missing one before www.; rule is null where nothing changed."""
-    value = F.regexp_replace(F.coalesce(raw, F.lit("")), "^\\s+|\\s+$", "")
+    value = strip_all(F.coalesce(raw, F.lit("")))
     scheme = F.lower(F.regexp_extract(value, _SCHEME, 1))
     rest = F.regexp_replace(value, _SCHEME, "")
     fixed = F.lit(None).cast("string")

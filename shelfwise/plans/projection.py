@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfwise.session import spread
+
 LISTING = """
 SELECT ((l.l_orderkey * 10 + l.l_linenumber) * 200003 + l.l_partkey) * 10007 + l.l_suppkey AS row_seq,
        'R' || CAST(((l.l_orderkey * 10 + l.l_linenumber) * 200003 + l.l_partkey) * 10007 + l.l_suppkey AS VARCHAR(20)) AS id_produit,
@@ -62,7 +64,9 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LISTING, **tables(spark, sf_dir, "lineitem", "part"))
+    read = tables(spark, sf_dir, "lineitem", "part")
+    used = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_tax")
+    return spark.sql(LISTING, lineitem=spread(read["lineitem"].select(*used), "l_orderkey", "l_linenumber"), part=read["part"])
 
 
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,7 +278,7 @@ def _small_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SMALL = f"small AS (SELECT p_size::VARCHAR AS block, {oracle.norm('p_name || chr(32) || p_type')} AS label, min(p_partkey) AS id FROM part GROUP BY 1, 2)"
-_FEW = "few AS (SELECT a.id AS l, b.id AS r, a.label AS a, b.label AS b FROM small a JOIN small b ON a.block = b.block AND a.id < b.id WHERE a.id % 4 = 0)"
+_PAIRED = "few AS (SELECT a.id AS l, b.id AS r, a.label AS a, b.label AS b FROM small a JOIN small b ON a.block = b.block AND a.id < b.id)"
 
 
 @query(f"WITH {_SMALL}, b AS (SELECT block, count(*) AS n FROM small GROUP BY block) SELECT sum(n)::BIGINT AS records_in, count(*) AS blocks, max(n) AS largest_block, sum(n * (n - 1) // 2)::BIGINT AS pairs_after_blocking, (sum(n) * (sum(n) - 1) // 2)::BIGINT AS pairs_without_blocking FROM b")
@@ -289,22 +289,22 @@ def pair_funnel(spark, sf_dir):
     return of.join(pairs).withColumn("pairs_without_blocking", F.expr("records_in * (records_in - 1) div 2"))
 
 
-@query("WITH s AS (SELECT l_suppkey % 3 AS block, l_orderkey * 10 + l_linenumber AS id, l_shipdate FROM lineitem WHERE l_linenumber = 1), r AS (SELECT block, id, row_number() OVER (PARTITION BY block ORDER BY l_shipdate, id) AS rn FROM s) SELECT a.block, count(*) AS pairs, sum((a.id * 31 + b.id) % 1000003)::BIGINT AS mark FROM r a JOIN r b ON a.block = b.block AND b.rn > a.rn AND b.rn <= a.rn + 100 GROUP BY a.block")
+@query("WITH s AS (SELECT l_suppkey % 3 AS block, l_orderkey * 10 + l_linenumber AS id, l_shipdate FROM lineitem), r AS (SELECT block, id, row_number() OVER (PARTITION BY block ORDER BY l_shipdate, id) AS rn FROM s) SELECT a.block, count(*) AS pairs, sum((a.id * 31 + b.id) % 1000003)::BIGINT AS mark FROM (SELECT *, unnest(range(rn + 1, rn + 101)) AS next FROM r) a JOIN r b ON a.block = b.block AND b.rn = a.next GROUP BY a.block")
 def sorted_neighbourhood_pairs(spark, sf_dir):
-    li = tables(spark, sf_dir, "lineitem")["lineitem"].where("l_linenumber = 1")
+    li = tables(spark, sf_dir, "lineitem")["lineitem"]
     rec = li.select((F.col("l_suppkey") % 3).alias("block"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").alias("label_normalized"), F.lit(1 << 40).alias("block_size"))
     pairs = resolution.candidate_pairs(rec, RULES.thresholds, [])
     return pairs.groupBy(F.col("l_block").alias("block")).agg(F.count(F.lit(1)).alias("pairs"), F.sum((F.col("l_id") * 31 + F.col("r_id")) % 1000003).alias("mark"))
 
 
-def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolution.candidate_pairs(_small_blocks(spark, sf_dir), RULES.thresholds, ["label_normalized"]).where("l_id % 4 = 0")
+def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.candidate_pairs(_small_blocks(spark, sf_dir), RULES.thresholds, ["label_normalized"])
 
 
-@query(f"WITH {_SMALL}, {_FEW} SELECT l, r, {oracle.lcs('a', 'b')} AS common, round(2.0 * {oracle.lcs('a', 'b')} / (length(a) + length(b)), 9) AS ratio FROM few")
+@query(f"WITH {_SMALL}, {_PAIRED} SELECT l, r, {oracle.lcs('a', 'b')} AS common, round(2.0 * {oracle.lcs('a', 'b')} / (length(a) + length(b)), 9) AS ratio FROM few")
 def lcs_similarity(spark, sf_dir):
     a, b = "l_label_normalized", "r_label_normalized"
-    return _few(spark, sf_dir).select(F.col("l_id").alias("l"), F.col("r_id").alias("r"), F.expr(similarity.lcs(a, b)).cast("long").alias("common"), F.round(F.expr(similarity.ratio(a, b)), 9).alias("ratio"))
+    return _paired(spark, sf_dir).select(F.col("l_id").alias("l"), F.col("r_id").alias("r"), F.expr(similarity.lcs(a, b)).cast("long").alias("common"), F.round(F.expr(similarity.ratio(a, b)), 9).alias("ratio"))
 
 
 _TOKENS = f"""toks AS (
@@ -320,23 +320,23 @@ sims AS (
                        CASE WHEN c > 0 THEN 1.0::DOUBLE - (g + length(da)) / (c + la) ELSE 0 END, CASE WHEN c > 0 THEN 1.0::DOUBLE - (g + length(db)) / (c + lb) ELSE 0 END) END) AS score FROM sides)"""
 
 
-@query(f"WITH {_SMALL}, {_FEW}, {_TOKENS} SELECT l, r, round(score, 9) AS score FROM sims")
+@query(f"WITH {_SMALL}, {_PAIRED}, {_TOKENS} SELECT l, r, round(score, 9) AS score FROM sims")
 def token_set_similarity(spark, sf_dir):
-    scored = similarity.with_similarity(_few(spark, sf_dir), "l_label_normalized", "r_label_normalized", "score")
+    scored = similarity.with_similarity(_paired(spark, sf_dir), "l_label_normalized", "r_label_normalized", "score")
     return scored.select(F.col("l_id").alias("l"), F.col("r_id").alias("r"), F.round("score", 9).alias("score"))
 
 
-@query(f"WITH {_SMALL}, {_FEW}, {_TOKENS} SELECT CASE WHEN score >= 0.86 THEN 'merge' WHEN score >= 0.72 THEN 'grey' ELSE 'distinct' END AS zone, count(*) AS n FROM sims GROUP BY 1")
+@query(f"WITH {_SMALL}, {_PAIRED}, {_TOKENS} SELECT CASE WHEN score >= 0.86 THEN 'merge' WHEN score >= 0.72 THEN 'grey' ELSE 'distinct' END AS zone, count(*) AS n FROM sims GROUP BY 1")
 def grey_zone_pairs(spark, sf_dir):
-    scored = similarity.with_similarity(_few(spark, sf_dir), "l_label_normalized", "r_label_normalized", "score")
+    scored = similarity.with_similarity(_paired(spark, sf_dir), "l_label_normalized", "r_label_normalized", "score")
     zone = F.when(F.col("score") >= RULES.thresholds.merge, "merge").when(F.col("score") >= RULES.thresholds.reject, "grey").otherwise("distinct")
     return scored.groupBy(zone.alias("zone")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS u, (l_partkey * 7 + 3) % 2003 AS v FROM lineitem WHERE l_partkey % 5 = 0), a AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v), w(n, r) AS (SELECT u, u FROM a UNION SELECT a.v, w.r FROM w JOIN a ON a.u = w.n) SELECT n AS node, min(r) AS root FROM w GROUP BY n")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS u, (l_partkey * 7 + 3) % 2003 AS v FROM lineitem), a AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v), w(n, r) AS (SELECT u, u FROM a UNION SELECT a.v, w.r FROM w JOIN a ON a.u = w.n) SELECT n AS node, min(r) AS root FROM w GROUP BY n")
 def connected_components(spark, sf_dir):
     li = tables(spark, sf_dir, "lineitem")["lineitem"]
-    return components(li.where("l_partkey % 5 = 0").select(F.col("l_partkey").alias("u"), ((F.col("l_partkey") * 7 + 3) % 2003).alias("v")).distinct())
+    return components(li.select(F.col("l_partkey").alias("u"), ((F.col("l_partkey") * 7 + 3) % 2003).alias("v")).distinct())
 
 
 @query(f"""WITH {GOLDEN}, grouped AS (SELECT *, coalesce(nullif(string_split(path, ' > ')[4], ''), '?') AS g FROM golden),
@@ -379,9 +379,9 @@ def vat_review_tasks(spark, sf_dir):
     return routing.vat_tasks(_golden(spark, sf_dir)).select("product_key", "proposed_value", "confidence", "affected_rows")
 
 
-@query(f"WITH {_SMALL}, {_FEW}, {_TOKENS} SELECT 'possible_duplicate' AS kind, a.label AS title, b.label AS current_value, round(score, 9) AS confidence FROM sims JOIN small a ON a.id = l JOIN small b ON b.id = r WHERE score >= 0.72 AND score < 0.86")
+@query(f"WITH {_SMALL}, {_PAIRED}, {_TOKENS} SELECT 'possible_duplicate' AS kind, a.label AS title, b.label AS current_value, round(score, 9) AS confidence FROM sims JOIN small a ON a.id = l JOIN small b ON b.id = r WHERE score >= 0.72 AND score < 0.86")
 def duplicate_review_tasks(spark, sf_dir):
-    scored = similarity.with_similarity(_few(spark, sf_dir), "l_label_normalized", "r_label_normalized", "score").where((F.col("score") >= RULES.thresholds.reject) & (F.col("score") < RULES.thresholds.merge))
+    scored = similarity.with_similarity(_paired(spark, sf_dir), "l_label_normalized", "r_label_normalized", "score").where((F.col("score") >= RULES.thresholds.reject) & (F.col("score") < RULES.thresholds.merge))
     pairs = scored.select(*[F.col(f"{s}_label_normalized").alias(f"{w}_{c}") for s, w in (("l", "left"), ("r", "right")) for c in ("key", "label")], "score")
     return routing.duplicate_tasks(pairs).select("kind", "title", "current_value", F.round("confidence", 9).alias("confidence"))
 

@@ -43,6 +43,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` over every core: a scan with fewer partitions than cores (one row group is one task) is hashed by `keys`."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows of `df`, computed once and read again from the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
