@@ -381,7 +381,8 @@ def vat_review_tasks(spark, sf_dir):
 
 @query(f"WITH {_SMALL}, {_PAIRED}, {_TOKENS} SELECT 'possible_duplicate' AS kind, a.label AS title, b.label AS current_value, round(score, 9) AS confidence FROM sims JOIN small a ON a.id = l JOIN small b ON b.id = r WHERE score >= 0.72 AND score < 0.86")
 def duplicate_review_tasks(spark, sf_dir):
-    scored = similarity.with_similarity(_paired(spark, sf_dir), "l_label_normalized", "r_label_normalized", "score").where((F.col("score") >= RULES.thresholds.reject) & (F.col("score") < RULES.thresholds.merge))
+    # Settled: a filter would carry the whole score expression into its two bounds.
+    scored = settled(similarity.with_similarity(_paired(spark, sf_dir), "l_label_normalized", "r_label_normalized", "score")).where((F.col("score") >= RULES.thresholds.reject) & (F.col("score") < RULES.thresholds.merge))
     pairs = scored.select(*[F.col(f"{s}_label_normalized").alias(f"{w}_{c}") for s, w in (("l", "left"), ("r", "right")) for c in ("key", "label")], "score")
     return routing.duplicate_tasks(pairs).select("kind", "title", "current_value", F.round("confidence", 9).alias("confidence"))
 
