@@ -118,12 +118,118 @@ def cluster(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED, dist
     return marked.join(of_node, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
+#: The near copies of `near_copies`: words a shingle, and the share of common shingles that makes a link.
+NEAR_SHINGLE = 5
+SIMILARITY = 0.8
+#: Their search: segments of a 128-bit fingerprint of the distinct words, and the differing bits a candidate may have.
+NEAR_SEGMENTS, NEAR_WIDTH = 5, 24
+NEAR_DISTANCE = 40
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def word_print(text: str | None, shingle: int = NEAR_SHINGLE) -> tuple[int, int, np.ndarray]:
+    """Both halves of the SimHash of the distinct words, and the sorted hashes of the distinct shingles.
+
+    Shingle hashes combine their words' hashes, so that a word is hashed once a text.
+    """
+    seen: dict[bytes, int] = {}
+    order: list[int] = []
+    for words in word_pieces((text or "").encode("utf-8", "surrogatepass").lower()):
+        order.extend(seen.setdefault(w, len(seen)) for w in words)
+    if not order:
+        return 0, 0, np.zeros(0, dtype=np.int64)
+    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, SEED) for w in seen), dtype=np.uint8).reshape(-1, 16)
+    ones = np.zeros(128, dtype=np.int64)
+    for at in range(0, len(raw), 1 << 16):
+        ones += np.unpackbits(raw[at : at + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    low, high = np.packbits(ones * 2 > len(raw), bitorder="little").view("<i8")
+    of_word = raw[:, :8].copy().view("<u8").ravel()[np.array(order)]
+    width = min(shingle, len(order))
+    mixed = np.zeros(len(order) - width + 1, dtype=np.uint64)
+    for k in range(width):
+        mixed = (mixed ^ of_word[k : k + len(mixed)]) * np.uint64(_ODD[0]) + np.uint64(_ODD[1])
+        mixed ^= mixed >> np.uint64(29)
+    return int(low), int(high), np.unique(mixed.view(np.int64))
+
+
+def _prints(documents: DataFrame, shingle: int, keep: bool) -> DataFrame:
+    """(doc_id, id, low, high, n) for each row, or (id, shingles) with `keep`; equal shingle sets have equal ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [word_print(t.as_py(), shingle) for t in batch.column(1)]
+            ids = pa.array([xxhash.xxh64_intdigest(m[2].tobytes(), SEED) - (1 << 63) for m in made], pa.int64())
+            if keep:
+                yield pa.RecordBatch.from_arrays([ids, pa.array([m[2] for m in made], pa.list_(pa.int64()))], names=["id", "shingles"])
+            else:
+                columns = [batch.column(0), ids, pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array([len(m[2]) for m in made], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "id", "low", "high", "n"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "text").mapInArrow(run, "id long, shingles array<bigint>" if keep else f"doc_id {kind}, id long, low long, high long, n long")
+
+
+def _word_signatures(nodes: DataFrame, side: int) -> DataFrame:
+    """(sig, id): for each segment of the word print, and for each of its bits that is `side`, with that bit cleared."""
+    mask, lists = (1 << NEAR_WIDTH) - 1, []
+    for k in range(NEAR_SEGMENTS):
+        at = k * NEAR_WIDTH
+        if at + NEAR_WIDTH <= 64:
+            segment = f"(shiftrightunsigned(low, {at}) & {mask}L)"
+        elif at >= 64:
+            segment = f"(shiftrightunsigned(high, {at - 64}) & {mask}L)"
+        else:
+            segment = f"((shiftrightunsigned(low, {at}) | shiftleft(high, {64 - at})) & {mask}L)"
+        head = f"{k << 38}L"
+        bits = f"filter(sequence(0, {NEAR_WIDTH - 1}), p -> (shiftright({segment}, p) & 1L) = {side})"
+        lists += [f"array({head} | {segment})", f"transform({bits}, p -> {head} | shiftleft(cast(p + 1 as bigint), {SEGMENT_BITS}) | ({segment} & ~shiftleft(1L, p)))"]
+    return nodes.select(F.explode(F.expr(f"concat({', '.join(lists)})")).alias("sig"), "id")
+
+
+def near_links(documents: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (u, v) of node ids whose shingle sets have at least `similarity` in common, verified on the sets."""
+    zero, one = _word_signatures(nodes, 0).alias("a"), _word_signatures(nodes, 1).alias("b")
+    met = zero.join(one, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") != F.col("b.id")))
+    met = met.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
+    side = lambda p: nodes.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("low", "high", "n")])
+    apart = F.bit_count(F.col("u_low").bitwiseXOR(F.col("v_low"))) + F.bit_count(F.col("u_high").bitwiseXOR(F.col("v_high")))
+    sizes = F.least("u_n", "v_n") >= F.lit(similarity) * F.greatest("u_n", "v_n")
+    pairs = settled(met.join(side("u"), "u").join(side("v"), "v").where((apart <= NEAR_DISTANCE) & sizes).select("u", "v"))
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    named = nodes.join(wanted, "id").select(F.col("least").alias("doc_id")).distinct()
+    sets = _prints(documents.select("doc_id", "text").join(named, "doc_id", "left_semi"), shingle, keep=True).join(wanted, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("s"))
+    sets = settled(sets)
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("us")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("vs")), "v")
+    common = F.size(F.array_intersect("us", "vs"))
+    return both.where(common >= F.lit(similarity) * (F.size("us") + F.size("vs") - common)).select("u", "v")
+
+
+def near_copies(documents: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of every row with a doc_id: near copies by word shingles, verified.
+
+    Two texts link when their sets of `shingle`-word shingles have a Jaccard similarity of at least
+    `similarity`; equal sets are one node.  Candidates are texts whose SimHash prints of distinct
+    words have a segment that differs in at most one bit, found by the one-wildcard variants; the
+    words change less between near copies than the shingles do.  component_id is the smallest doc_id
+    that links reach.  Texts without words, null included, are one node.  Rows without a doc_id are
+    left out; an empty table gives an empty result; other columns are not read.
+    """
+    documents = documents.where(F.col("doc_id").isNotNull())
+    marked = settled(_prints(documents, shingle, keep=False))
+    nodes = settled(marked.groupBy("id", "low", "high", "n").agg(F.min("doc_id").alias("least")))
+    joined = components(near_links(documents, nodes, shingle, similarity))
+    rooted = nodes.join(joined, nodes["id"] == joined["node"], "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_node = settled(rooted.select("id", "root").join(named, "root").select("id", "component_id"))
+    return marked.join(of_node, "id").select("doc_id", "component_id")
+
+
 def deduplicate(documents: DataFrame) -> DataFrame:
-    """One row of each component, the one with the smallest doc_id, with all its columns.
+    """One row of each component of `near_copies`, the one with the smallest doc_id, with all its columns.
 
     Rows without a doc_id cannot be named by one and stay.
     """
-    copies = cluster(documents).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    copies = near_copies(documents).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return documents.join(copies, "doc_id", "left_anti").select(*documents.columns)
 
 

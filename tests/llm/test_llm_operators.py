@@ -110,6 +110,45 @@ def test_simhash_links_every_pair(spark):
     assert got == {tuple(sorted((a, b))) for k, a in enumerate(signed) for b in signed[:k] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
 
 
+def near_classes(made):
+    """Smallest doc_id reachable by links of at least 0.8 over five-word shingles, in plain Python."""
+    sets = []
+    for _, t in made:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", lower(t)) if x]
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(made)))
+    for a in range(len(made)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = group[a], group[b]
+                group = [y if g == x else g for g in group]
+    return {(d, min(e for k, (e, _) in enumerate(made) if group[k] == g)) for (d, _), g in zip(made, group, strict=True)}
+
+
+def test_near_copies(spark, docs, empty):
+    """Edited copies are found as brute force finds them; nulls, empty texts, repeats and one very long text are in `docs`."""
+    named = [(d, t) for d, t in TEXTS if d is not None]
+    assert {tuple(r) for r in simhash.near_copies(docs).collect()} == near_classes(named)
+    assert simhash.near_copies(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
+    left = simhash.deduplicate(docs)
+    assert left.columns == docs.columns and left.where("doc_id is null").count() == 2
+
+    r, made = random.Random(11), []
+    for k in range(120):
+        base = prose(r.randint(60, 400), 100 + k).split()
+        made.append((10 * k, " ".join(base)))
+        for n in range(1, 4):
+            copy = list(base)
+            for _ in range(r.randint(1, max(1, len(base) // 40))):
+                copy[r.randrange(len(copy))] = r.choice(VOCABULARY)
+            made.append((10 * k + n, " ".join(copy)))
+    got = {tuple(x) for x in simhash.near_copies(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    want = near_classes(made)
+    copies = {p for p in want if p[0] != p[1]}
+    assert len(copies) > 100 and len(got & copies) >= 0.95 * len(copies)
+    assert all(a // 10 == b // 10 for a, b in got)
+
+
 def plain_secrets(t):
     t, out = t or "", []
     for place, (kind, pattern, group, least, flags) in enumerate([("assign", secrets.RULES[0].pattern[4:], 2, 8, re.I | re.A), ("access", r"AKIA[A-Z0-9]+", 0, 16, 0), ("hex", r"[0-9a-f]+", 0, 32, 0)]):
