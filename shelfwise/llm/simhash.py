@@ -14,13 +14,15 @@ of copies costs what one document costs after a partially aggregated group-by.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.llm._common import settled, table
@@ -121,14 +123,16 @@ def cluster(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED, dist
 #: The near copies of `near_copies`: words a shingle, and the share of common shingles that makes a link.
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
-#: Their search: segments of a 128-bit fingerprint of the distinct words, and the differing bits a candidate may have.
-NEAR_SEGMENTS, NEAR_WIDTH = 5, 24
-NEAR_DISTANCE = 40
+#: Shingles met so often in one of `SAMPLE` texts are common, the most frequent `COMMON` of them; they come last in a text's order.
+SAMPLE, OFTEN, COMMON = 8, 4, 1 << 16
+#: Most rounds in which each bucket compares its rows with one of them, before all its pairs across classes are compared;
+#: there are none once those pairs are at most so many a row.
+STAR_ROUNDS, FEW_PAIRS = 3, 4
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def word_print(text: str | None, shingle: int = NEAR_SHINGLE) -> tuple[int, int, np.ndarray]:
-    """Both halves of the SimHash of the distinct words, and the sorted hashes of the distinct shingles.
+def shingle_set(text: str | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """The sorted hashes of the distinct word shingles.
 
     Shingle hashes combine their words' hashes, so that a word is hashed once a text.
     """
@@ -137,91 +141,165 @@ def word_print(text: str | None, shingle: int = NEAR_SHINGLE) -> tuple[int, int,
     for words in word_pieces((text or "").encode("utf-8", "surrogatepass").lower()):
         order.extend(seen.setdefault(w, len(seen)) for w in words)
     if not order:
-        return 0, 0, np.zeros(0, dtype=np.int64)
-    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, SEED) for w in seen), dtype=np.uint8).reshape(-1, 16)
-    ones = np.zeros(128, dtype=np.int64)
-    for at in range(0, len(raw), 1 << 16):
-        ones += np.unpackbits(raw[at : at + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64)
-    low, high = np.packbits(ones * 2 > len(raw), bitorder="little").view("<i8")
-    of_word = raw[:, :8].copy().view("<u8").ravel()[np.array(order)]
+        return np.zeros(0, dtype=np.int64)
+    of_word = np.array([xxhash.xxh3_64_intdigest(w, SEED) for w in seen], dtype=np.uint64)[np.array(order)]
     width = min(shingle, len(order))
     mixed = np.zeros(len(order) - width + 1, dtype=np.uint64)
     for k in range(width):
         mixed = (mixed ^ of_word[k : k + len(mixed)]) * np.uint64(_ODD[0]) + np.uint64(_ODD[1])
         mixed ^= mixed >> np.uint64(29)
-    return int(low), int(high), np.unique(mixed.view(np.int64))
+    return np.unique(mixed.view(np.int64))
 
 
-def _prints(documents: DataFrame, shingle: int, keep: bool) -> DataFrame:
-    """(doc_id, id, low, high, n) for each row, or (id, shingles) with `keep`; equal shingle sets have equal ids."""
+def set_id(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, int]:
+    """The first shingles in the order of all texts, and how many of them are not common.
+
+    Sets of a similarity of at least `similarity` share one of their first n - ceil(similarity * n) + 1
+    shingles in any order that all texts have; here common shingles come last, the most frequent at the end.
+    """
+    n = len(shingles)
+    if not n:
+        return shingles, 0
+    place = np.zeros(n, dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        place = np.where(common[at] == shingles, rank[at], 0)
+    kept = np.lexsort((shingles, place))[: n - math.ceil(similarity * n - 1e-6) + 1]
+    return shingles[kept], int((place[kept] == 0).sum())
+
+
+def common_shingles(documents: DataFrame, shingle: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many texts of a sample have, and their ranks from 1, rarest first.
+
+    They only decide the order of a text's shingles; any order gives the same links.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [word_print(t.as_py(), shingle) for t in batch.column(1)]
-            ids = pa.array([xxhash.xxh64_intdigest(m[2].tobytes(), SEED) - (1 << 63) for m in made], pa.int64())
-            if keep:
-                yield pa.RecordBatch.from_arrays([ids, pa.array([m[2] for m in made], pa.list_(pa.int64()))], names=["id", "shingles"])
-            else:
-                columns = [batch.column(0), ids, pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array([len(m[2]) for m in made], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "id", "low", "high", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([shingle_set(t.as_py(), shingle) for t in batch.column(0)], pa.list_(pa.int64()))], names=["s"])
+
+    sample = documents.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "s array<bigint>")
+    counted = sample.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    found = counted.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    hashes, ranks = np.array([r["h"] for r in found], dtype=np.int64), np.arange(len(found), 0, -1, dtype=np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], ranks[order]
+
+
+def _marked(documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, id, n, rare, prefix) for each row; equal shingle sets have equal ids, and `rare` of the prefix are not common."""
+    common, rank = common_shingles(documents, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, rare, heads = [], [], [], []
+            for t in batch.column(1):
+                s = shingle_set(t.as_py(), shingle)
+                head, few = prefix(s, common, rank, similarity)
+                for column, value in ((ids, set_id(s)), (sizes, len(s)), (rare, few), (heads, head)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "id", "n", "rare", "prefix"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, "id long, shingles array<bigint>" if keep else f"doc_id {kind}, id long, low long, high long, n long")
-
-
-def _word_signatures(nodes: DataFrame, side: int) -> DataFrame:
-    """(sig, id): for each segment of the word print, and for each of its bits that is `side`, with that bit cleared."""
-    mask, lists = (1 << NEAR_WIDTH) - 1, []
-    for k in range(NEAR_SEGMENTS):
-        at = k * NEAR_WIDTH
-        if at + NEAR_WIDTH <= 64:
-            segment = f"(shiftrightunsigned(low, {at}) & {mask}L)"
-        elif at >= 64:
-            segment = f"(shiftrightunsigned(high, {at - 64}) & {mask}L)"
-        else:
-            segment = f"((shiftrightunsigned(low, {at}) | shiftleft(high, {64 - at})) & {mask}L)"
-        head = f"{k << 38}L"
-        bits = f"filter(sequence(0, {NEAR_WIDTH - 1}), p -> (shiftright({segment}, p) & 1L) = {side})"
-        lists += [f"array({head} | {segment})", f"transform({bits}, p -> {head} | shiftleft(cast(p + 1 as bigint), {SEGMENT_BITS}) | ({segment} & ~shiftleft(1L, p)))"]
-    return nodes.select(F.explode(F.expr(f"concat({', '.join(lists)})")).alias("sig"), "id")
-
-
-def near_links(documents: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (u, v) of node ids whose shingle sets have at least `similarity` in common, verified on the sets."""
-    zero, one = _word_signatures(nodes, 0).alias("a"), _word_signatures(nodes, 1).alias("b")
-    met = zero.join(one, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") != F.col("b.id")))
-    met = met.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
-    side = lambda p: nodes.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("low", "high", "n")])
-    apart = F.bit_count(F.col("u_low").bitwiseXOR(F.col("v_low"))) + F.bit_count(F.col("u_high").bitwiseXOR(F.col("v_high")))
-    sizes = F.least("u_n", "v_n") >= F.lit(similarity) * F.greatest("u_n", "v_n")
-    pairs = settled(met.join(side("u"), "u").join(side("v"), "v").where((apart <= NEAR_DISTANCE) & sizes).select("u", "v"))
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, id long, n int, rare int, prefix array<bigint>")
+
+
+def _sets(documents: DataFrame, shingle: int) -> DataFrame:
+    """(id, s): the shingle set of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(t.as_py(), shingle) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in made], pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["id", "s"])
+
+    return documents.select("text").mapInArrow(run, "id long, s array<bigint>")
+
+
+def _may_link(a: str, b: str, similarity: float) -> Column:
+    """Whether sets that have this shingle as the first in common can be similar enough: by what is left of both behind it."""
+    left = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
+    return left * (1 + similarity) >= similarity * (F.col(f"{a}.n") + F.col(f"{b}.n")) - 1e-6
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
+
+
+def _tested(pairs: DataFrame, documents: DataFrame, marked: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v, linked): the pairs, held against the whole shingle sets; sets are made only for texts that a pair names."""
+    pairs = settled(pairs)
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    named = nodes.join(wanted, "id").select(F.col("least").alias("doc_id")).distinct()
-    sets = _prints(documents.select("doc_id", "text").join(named, "doc_id", "left_semi"), shingle, keep=True).join(wanted, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("s"))
-    sets = settled(sets)
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("us")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("vs")), "v")
+    named = marked.select("id", "doc_id").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    sets = _sets(documents.select("doc_id", "text").join(named, "doc_id", "left_semi"), shingle).join(wanted, "id", "left_semi")
+    sets = settled(sets.groupBy("id").agg(F.first("s").alias("s")))
+    side = lambda p: sets.select(F.col("id").alias(p), F.col("s").alias(f"{p}s"))
     common = F.size(F.array_intersect("us", "vs"))
-    return both.where(common >= F.lit(similarity) * (F.size("us") + F.size("vs") - common)).select("u", "v")
+    return settled(pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", (common >= F.lit(similarity) * (F.size("us") + F.size("vs") - common)).alias("linked")))
+
+
+def _meetings(rows: DataFrame) -> int:
+    """How many pairs of different classes the buckets have."""
+    of_class = rows.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
+    of_bucket = of_class.groupBy("sig").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("twice"))
+    return (of_bucket.agg(F.sum("twice")).first()[0] or 0) // 2
+
+
+def near_links(documents: DataFrame, marked: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (u, v) of ids with verified links whose components are those of all pairs that are similar enough.
+
+    Texts with a shared shingle in their prefixes are a bucket.  In each of a few rounds every bucket
+    compares its members with one of them, and what links becomes a class.  Then all pairs of a
+    bucket are compared that are of different classes.  A pair that is not compared is of one class.
+    The one row is of the bucket's largest class, a different one each round.
+    """
+    heads = marked.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
+    index = heads.select("id", "n", "rare", F.posexplode("prefix").alias("pos", "sig"))
+    rare = index.where("pos < rare").withColumn("members", F.count(F.lit(1)).over(W.partitionBy("sig"))).where("members > 1")
+    index = settled(rare.select("sig", "id", "n", "pos").unionByName(index.where("pos >= rare").select("sig", "id", "n", "pos")))
+    rows, tested = index.select("*", F.col("id").alias("root"), F.lit(1).cast("long").alias("size")), None
+    most = FEW_PAIRS * index.count()
+    for turn in range(STAR_ROUNDS + 1):
+        last = turn == STAR_ROUNDS or _meetings(rows) <= most
+        if not last:
+            buckets = rows.groupBy("sig").agg(F.max(F.struct("size", F.xxhash64("id", F.lit(turn)).alias("k"), "id", "n", "pos", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+            others = buckets.where("lo <> hi").select("sig", "p.id", "p.n", "p.pos", "p.root").alias("b")
+        else:
+            others = rows.alias("b")
+        pairs = _pairs(rows.alias("a").join(others, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.root") != F.col("b.root")) & _may_link("a", "b", similarity)))
+        new = _tested(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), documents, marked, shingle, similarity)
+        tested = new if tested is None else tested.unionByName(new)
+        if last:
+            break
+        if not new.where("linked").isEmpty():
+            classes = components(tested.where("linked").select("u", "v"))
+            classes = classes.join(classes.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
+            rows = index.join(classes, index["id"] == classes["node"], "left").select(*index.columns, F.coalesce("root", "id").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+            mixed = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+            rows = settled(rows.join(mixed, "sig", "left_semi"))
+    return tested.where("linked").select("u", "v")
 
 
 def near_copies(documents: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of every row with a doc_id: near copies by word shingles, verified.
+    """(doc_id, component_id) of every row with a doc_id: near copies by word shingles, none missed.
 
     Two texts link when their sets of `shingle`-word shingles have a Jaccard similarity of at least
-    `similarity`; equal sets are one node.  Candidates are texts whose SimHash prints of distinct
-    words have a segment that differs in at most one bit, found by the one-wildcard variants; the
-    words change less between near copies than the shingles do.  component_id is the smallest doc_id
-    that links reach.  Texts without words, null included, are one node.  Rows without a doc_id are
-    left out; an empty table gives an empty result; other columns are not read.
+    `similarity`; equal sets are one node.  Candidates are texts that share a shingle in the prefixes
+    of their sets, as all such pairs do.  component_id is the smallest doc_id that links reach.  Texts
+    without words, null included, are one node.  Rows without a doc_id are left out; an empty table
+    gives an empty result; other columns are not read.
     """
     documents = documents.where(F.col("doc_id").isNotNull())
-    marked = settled(_prints(documents, shingle, keep=False))
-    nodes = settled(marked.groupBy("id", "low", "high", "n").agg(F.min("doc_id").alias("least")))
-    joined = components(near_links(documents, nodes, shingle, similarity))
+    marked = settled(_marked(documents, shingle, similarity))
+    nodes = settled(marked.groupBy("id").agg(F.min("doc_id").alias("least")))
+    joined = components(near_links(documents, marked, shingle, similarity))
     rooted = nodes.join(joined, nodes["id"] == joined["node"], "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = settled(rooted.select("id", "root").join(named, "root").select("id", "component_id"))
-    return marked.join(of_node, "id").select("doc_id", "component_id")
+    return marked.select("doc_id", "id").join(of_node, "id").select("doc_id", "component_id")
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:

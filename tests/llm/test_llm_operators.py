@@ -149,6 +149,22 @@ def test_near_copies(spark, docs, empty):
     assert all(a // 10 == b // 10 for a, b in got)
 
 
+def test_near_copies_misses_no_kind_of_edit(spark):
+    """Appended, cut and substituted copies from below to above the similarity, beside a passage that many texts share."""
+    r, made, passage = random.Random(12), [], prose(30, 77)
+    for k in range(150):
+        n = r.randint(20, 300)
+        base = [f"{w}{r.randrange(9)}" for w in prose(n, 900 + k).split()]
+        cut, words = base[: n - round(n * r.uniform(0, 0.3))], list(base)
+        for at in r.sample(range(n), max(1, n // 50)):
+            words[at] = "edit"
+        made += [(10 * k, base), (10 * k + 1, base + prose(round(n * r.uniform(0, 0.3)), 5000 + k).split()), (10 * k + 2, cut), (10 * k + 3, words), (10 * k + 4, passage.split() + base)]
+    made = [(d, " ".join(t)) for d, t in made]
+    want = near_classes(made)
+    assert {tuple(x) for x in simhash.near_copies(spark.createDataFrame(made, "doc_id long, text string")).collect()} == want
+    assert len({c for _, c in want}) < len(want) - 200
+
+
 def plain_secrets(t):
     t, out = t or "", []
     for place, (kind, pattern, group, least, flags) in enumerate([("assign", secrets.RULES[0].pattern[4:], 2, 8, re.I | re.A), ("access", r"AKIA[A-Z0-9]+", 0, 16, 0), ("hex", r"[0-9a-f]+", 0, 32, 0)]):
