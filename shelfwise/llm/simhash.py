@@ -191,21 +191,21 @@ def common_shingles(documents: DataFrame, shingle: int = NEAR_SHINGLE) -> tuple[
 
 
 def _marked(documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, id, n, rare, prefix) for each row; equal shingle sets have equal ids, and `rare` of the prefix are not common."""
+    """(doc_id, key, id, n, rare, prefix) for each row; key is a hash of the text, equal shingle sets have equal ids, and `rare` of the prefix are not common."""
     common, rank = common_shingles(documents, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, rare, heads = [], [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 s = shingle_set(t.as_py(), shingle)
                 head, few = prefix(s, common, rank, similarity)
                 for column, value in ((ids, set_id(s)), (sizes, len(s)), (rare, few), (heads, head)):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "id", "n", "rare", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "key", "id", "n", "rare", "prefix"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, id long, n int, rare int, prefix array<bigint>")
+    return documents.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, id long, n int, rare int, prefix array<bigint>")
 
 
 def _sets(documents: DataFrame, shingle: int) -> DataFrame:
@@ -283,6 +283,18 @@ def near_links(documents: DataFrame, marked: DataFrame, shingle: int = NEAR_SHIN
     return tested.where("linked").select("u", "v")
 
 
+def _classed(documents: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, key, first) of every row with a doc_id; first is the (doc_id, key) of its component that stays."""
+    documents = documents.where(F.col("doc_id").isNotNull())
+    marked = settled(_marked(documents, shingle, similarity))
+    nodes = settled(marked.groupBy("id").agg(F.min(F.struct("doc_id", "key")).alias("least")))
+    joined = components(near_links(documents, marked, shingle, similarity))
+    rooted = nodes.join(joined, nodes["id"] == joined["node"], "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    of_node = settled(rooted.select("id", "root").join(named, "root").select("id", "first"))
+    return marked.select("doc_id", "key", "id").join(of_node, "id").select("doc_id", "key", "first")
+
+
 def near_copies(documents: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of every row with a doc_id: near copies by word shingles, none missed.
 
@@ -292,23 +304,24 @@ def near_copies(documents: DataFrame, shingle: int = NEAR_SHINGLE, similarity: f
     without words, null included, are one node.  Rows without a doc_id are left out; an empty table
     gives an empty result; other columns are not read.
     """
-    documents = documents.where(F.col("doc_id").isNotNull())
-    marked = settled(_marked(documents, shingle, similarity))
-    nodes = settled(marked.groupBy("id").agg(F.min("doc_id").alias("least")))
-    joined = components(near_links(documents, marked, shingle, similarity))
-    rooted = nodes.join(joined, nodes["id"] == joined["node"], "left").select("id", "least", F.coalesce("root", "id").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = settled(rooted.select("id", "root").join(named, "root").select("id", "component_id"))
-    return marked.select("doc_id", "id").join(of_node, "id").select("doc_id", "component_id")
+    return _classed(documents, shingle, similarity).select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
-    """One row of each component of `near_copies`, the one with the smallest doc_id, with all its columns.
+    """One row of each component of `near_copies`, one with the smallest doc_id, with all its columns.
 
-    Rows without a doc_id cannot be named by one and stay.
+    Rows are told apart by doc_id and text, so different texts of one doc_id stay or go each by itself,
+    and of rows that repeat both one stays.  Rows without a doc_id are no copies and stay.
     """
-    copies = near_copies(documents).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return documents.join(copies, "doc_id", "left_anti").select(*documents.columns)
+    key, classed = "_shelfwise_key", settled(_classed(documents))
+    stays = F.struct("doc_id", "key") == F.col("first")
+    copies = classed.where(~stays).select("doc_id", F.col("key").alias(key)).distinct()
+    left = documents.withColumn(key, F.xxhash64("text")).join(copies, ["doc_id", key], "left_anti")
+    repeated = settled(classed.where(stays).groupBy("doc_id", F.col("key").alias(key)).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id", key))
+    if not repeated.isEmpty():
+        once = left.join(repeated, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+        left = left.join(repeated, ["doc_id", key], "left_anti").unionByName(once)
+    return left.select(*documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,6 +165,14 @@ def test_near_copies_misses_no_kind_of_edit(spark):
     assert len({c for _, c in want}) < len(want) - 200
 
 
+def test_near_dedup_drops_rows_not_doc_ids(spark):
+    one, other, copy = prose(80, 21), prose(80, 22), prose(80, 21) + " tail"
+    made = [(1, one, "a"), (1, one, "b"), (2, copy, "c"), (2, other, "d"), (3, other, "e"), (None, one, "f"), (None, one, "g")]
+    left = simhash.deduplicate(spark.createDataFrame(made, "doc_id long, text string, source string"))
+    got = sorted((str(r["doc_id"]), r["text"]) for r in left.collect())
+    assert got == sorted([("1", one), ("2", other), ("None", one), ("None", one)])
+
+
 def plain_secrets(t):
     t, out = t or "", []
     for place, (kind, pattern, group, least, flags) in enumerate([("assign", secrets.RULES[0].pattern[4:], 2, 8, re.I | re.A), ("access", r"AKIA[A-Z0-9]+", 0, 16, 0), ("hex", r"[0-9a-f]+", 0, 32, 0)]):
