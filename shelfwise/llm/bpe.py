@@ -29,10 +29,10 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm._common import table
+from shelfwise.llm._common import slices, table
 
-#: Unit of what a worker remembers: half as many words, twice as many pretokens, in two generations.
-MEMO = 200_000
+#: What a worker remembers while it is at a partition: words and pretokens in two generations each, and pairs of tokens.
+MEMO_WORDS, MEMO_PRETOKENS, MEMO_PAIRS = 60_000, 150_000, 250_000
 #: Longer pretokens are streamed and not remembered.
 MEMO_CHARS = 64
 #: Words of a text that are encoded at a time.
@@ -92,8 +92,7 @@ class MergeList:
                 if formed < 0:
                     break
                 piece, used = parts[side], formed
-            if len(memo) < MEMO:
-                memo[token] = spine
+            memo[token] = spine  # one for each token of the vocabulary at most
         return spine
 
     def compatible(self, first: str, second: str) -> bool:
@@ -101,14 +100,14 @@ class MergeList:
         known = self._pairs.get((first, second))
         if known is None:
             known = self._compatible(first, second)
-            if len(self._pairs) >= MEMO:
+            if len(self._pairs) >= MEMO_PAIRS:
                 self._pairs.clear()
             self._pairs[first, second] = known
         return known
 
     def remember(self, pair: int, first: int, second: int) -> bool:
         """`compatible` for two ids, kept under their joint number."""
-        if len(self.known) >= 4 * MEMO:
+        if len(self.known) >= MEMO_PAIRS:
             self.known.clear()
         fits = self.known[pair] = self._compatible(self.spelling[first], self.spelling[second])
         return fits
@@ -260,7 +259,7 @@ class Transducer:
 class Memo(dict):
     """A table of bounded size: when full, it becomes the old generation, from which what is used comes back."""
 
-    def __init__(self, make, limit: int = MEMO):
+    def __init__(self, make, limit: int):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -288,7 +287,15 @@ class Codec:
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.m.added, key=len, reverse=True))) + ")") if self.m.added else None
         self.tokens = {i: t for t, i in self.m.ids.items()} | {i: t for t, i in self.m.added.items()}
-        self.by_word, self.by_pretoken = Memo(self._word, MEMO // 2), Memo(self._pretoken, 2 * MEMO)
+        self.by_word, self.by_pretoken = Memo(self._word, MEMO_WORDS), Memo(self._pretoken, MEMO_PRETOKENS)
+
+    def forget(self) -> None:
+        """Drops what was remembered of texts, so that an idle worker holds the vocabulary alone."""
+        for memo in (self.by_word, self.by_pretoken):
+            memo.clear()
+            memo.old = {}
+        self.m.known.clear()
+        self.m._pairs.clear()
 
     def _pretoken(self, pretoken: str) -> bytes:
         mapped = "".join(map(self.symbols.__getitem__, pretoken.encode("utf-8", "replace")))
@@ -373,9 +380,10 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
-        for batch in batches:
+        for batch in slices(batches, 4096):
             rows = [coder.digest(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.forget()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

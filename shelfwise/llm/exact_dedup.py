@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfwise.llm._common import ascii_lower, settled, table
+from shelfwise.llm._common import ascii_lower, settled, table, unused
 
 #: Counters kept by a summary; frequencies above about 3.5 / TRACKED of the rows cannot be missed.
 TRACKED = 8192
@@ -74,16 +74,18 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     """The rows that `assign` keeps, with all their columns.
 
     A heavy text's rows are reduced on the map side to those that carry the doc_id that stays; the
-    others meet by digest, and one of each group is taken.
+    others meet by digest, and one of each group is taken.  Null texts count as empty, a null doc_id
+    loses to any other, and of repeated rows one stays; an empty table gives an empty result, and
+    further columns, whatever their names, are carried along unchanged.
     """
-    digest, heavy_id = "_shelfwise_digest", "_shelfwise_heavy_id"
+    digest, heavy_id, place = (unused(documents, n) for n in ("text_digest", "heavy_id", "place_in_group"))
     full = documents.withColumn(digest, text_digest(F.col("text")))
     keyed = settled(full.select("doc_id", F.col(digest).alias("digest")).withColumn("rid", F.monotonically_increasing_id()))
     heavy = heavy_digests(keyed).select(F.col("digest").alias(digest), F.struct(F.col("winner.doc_id").alias("id")).alias(heavy_id))
     marked = full.join(F.broadcast(heavy), digest, "left")
     left = marked.where(F.col(heavy_id).isNull() | F.col("doc_id").eqNullSafe(F.col(f"{heavy_id}.id")))
     first = F.row_number().over(W.partitionBy(digest).orderBy(F.desc_nulls_last("doc_id")))
-    return left.withColumn("_shelfwise_rank", first).where("_shelfwise_rank = 1").select(*documents.columns)
+    return left.withColumn(place, first).where(F.col(place) == 1).select(*documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

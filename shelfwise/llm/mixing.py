@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfwise.llm._common import settled, table, unit_interval, word_count
+from shelfwise.llm._common import settled, table, unit_interval, unused, word_count
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -70,9 +70,13 @@ def assign(documents: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mix(documents: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix itself: every document as many times as its copies, with the input's columns."""
+    """The mix itself: every document as many times as its copies, with the input's columns.
+
+    Nulls, empty texts, sources without words and repeated rows are as in `assign`; an empty table
+    gives an empty result, and further columns, whatever their names, are carried along unchanged.
+    """
     rates = settled(targets(settled(documents.select(F.struct("source").alias("s"), word_count(F.col("text")).alias("size")).groupBy("s").agg(F.sum("size").alias("source_size")).select("s.source", "source_size"))))
-    key, rate, copy = "_shelfwise_source", "_shelfwise_rate", "_shelfwise_copy"
+    key, rate, copy = (unused(documents, n) for n in ("mix_source", "mix_rate", "mix_copy"))
     small = rates.select(F.struct("source").alias(key), F.col("rate").alias(rate))
     if rates.count() <= BROADCAST_SOURCES:
         small = F.broadcast(small)

@@ -18,6 +18,7 @@ Raw counts, weights, k and the threshold cover all documents.  Only labels are a
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm._common import settled, table, unit_interval
+from shelfwise.llm._common import settled, slices, table, unit_interval, unused
 
 #: Hash buckets of the n-gram models.
 BUCKETS = 1 << 16
@@ -35,33 +36,47 @@ LABELS = 20_000
 SEED = 23
 #: N-grams that a weight stands for, and n-grams of ratio one that short texts are filled up with.
 LENGTH, FILL = 50, 20
-#: Words whose features a worker remembers, and words that are handled at a time.
-MEMO = 200_000
-RUN = 500_000
-
-_memo: dict[str, int] = {}
+#: Words whose features a worker remembers, their longest, words that are handled at a time, and characters cut into words at a time.
+MEMO, MEMO_CHARS = 50_000, 64
+RUN = 50_000
+PIECE = 1 << 18
+WHITE = re.compile(r"\s")
 
 
 def shape(word: str) -> str:
     """x for a run of lower case, X of upper case, 9 of digits; other signs stand for their runs."""
-    out = ""
-    for sign in word[:32]:
+    out, last = [], ""
+    for sign in word:
         kind = "x" if sign.islower() else "X" if sign.isupper() else "9" if sign.isdigit() else sign
-        if not out.endswith(kind):
-            out += kind
-    return out
+        if kind != last:
+            out.append(kind)
+            last = kind
+    return "".join(out)
+
+
+def word_lists(text: str, piece: int = PIECE) -> Iterator[list[str]]:
+    """The words of a text in lists of bounded size; no word is cut."""
+    start = 0
+    while start < len(text):
+        end = min(start + piece, len(text))
+        if end < len(text):
+            found = WHITE.search(text, end)
+            end = found.start() if found else len(text)
+        yield text[start:end].split()
+        start = end
 
 
-def _word(word: str) -> int:
-    """Word hash in the low 32 bits, shape hash in the next 31."""
-    known = _memo.get(word)
-    if known is None:
+class Words(dict):
+    """Word hash in the low 32 bits, shape hash in the next 31; a table of bounded size."""
+
+    def __missing__(self, word: str) -> int:
         bare = word.lower().strip(".,;:!?").encode("utf-8", "surrogatepass")
-        known = xxhash.xxh32_intdigest(bare) | (xxhash.xxh32_intdigest(shape(word).encode("utf-8", "surrogatepass")) >> 1) << 32
-        if len(_memo) >= MEMO:
-            _memo.clear()
-        _memo[word] = known
-    return known
+        code = xxhash.xxh32_intdigest(bare) | (xxhash.xxh32_intdigest(shape(word).encode("utf-8", "surrogatepass")) >> 1) << 32
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = code
+        return code
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -69,15 +84,16 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)
 
 
-def grams(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def grams(texts: list[str | None], run: int = RUN, known: Words | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, buckets of all n-grams, the text of each) for bounded runs of the texts.
 
-    A text longer than a run comes in several; its neighbours across the seam are kept.
+    A text longer than a run comes in several; the last word before a seam is carried over it, so
+    the n-grams are those of the whole text, whatever `run` is.
     """
-    first, codes, owner = 0, [], []
-    carry: list[int] = []
+    code_of = (Words() if known is None else known).__getitem__
+    first, carried, codes, owner = 0, 0, [], []
 
-    def flush(start: int) -> tuple[int, np.ndarray, np.ndarray]:
+    def flush() -> tuple[int, np.ndarray, np.ndarray]:
         code, own = np.array(codes, dtype=np.uint64), np.array(owner, dtype=np.int64)
         word, form = code & np.uint64(0xFFFFFFFF), code >> np.uint64(32)
         before, opens = np.zeros_like(form), np.ones(len(code), dtype=bool)
@@ -85,24 +101,21 @@ def grams(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray
         again = np.zeros(len(code), dtype=bool)
         again[1:] = (word[1:] == word[:-1]) & ~opens[1:]
         pair = _scramble(np.where(opens, np.uint64(1), before * np.uint64(3) + np.uint64(2)) * np.uint64(0xC2B2AE3D27D4EB4F) + form * np.uint64(2) + again.astype(np.uint64))
-        fresh = own >= 0
-        return start, np.concatenate([_scramble(word)[fresh], pair[fresh]]).astype(np.int64) % BUCKETS, np.concatenate([own[fresh], own[fresh]])
+        fresh = slice(carried, None)
+        return first, np.concatenate([_scramble(word)[fresh], pair[fresh]]).astype(np.int64) % BUCKETS, np.concatenate([own[fresh], own[fresh]])
 
     for k, text in enumerate(texts):
-        words = (text or "").split()
-        for at in range(0, len(words), RUN):
-            part = list(map(_word, words[at : at + RUN]))
-            codes += part
-            owner += [k - first] * len(part)
-            if len(codes) >= RUN:
-                yield flush(first)
-                first, codes, owner = k, [], []
-                if at + RUN < len(words):
-                    # the neighbour across the seam belongs to the run before: marked as no text of this one
-                    carry = part[-1:]
-                    codes, owner = list(carry), [-1]
-    if codes:
-        yield flush(first)
+        for words in word_lists(text or ""):
+            for at in range(0, len(words), run):
+                part = list(map(code_of, words[at : at + run]))
+                codes += part
+                owner += [k - first] * len(part)
+                if len(codes) - carried >= run:
+                    yield flush()
+                    # the last word is the neighbour of the next one, if that is of the same text
+                    first, carried, codes, owner = k, 1, codes[-1:], [0]
+    if len(codes) > carried:
+        yield flush()
 
 
 def sampled_labels(labels: DataFrame, limit: int = LABELS) -> DataFrame:
@@ -119,10 +132,10 @@ def log_ratios(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     """log p_target / p_raw for each bucket, from counts over all documents; zeros without a target."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
+        raw, target, known = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64), Words()
+        for batch in slices(batches):
             good = np.array([bool(g) for g in batch.column(1).to_pylist()], dtype=bool)
-            for first, bucket, owner in grams(batch.column(0).to_pylist()):
+            for first, bucket, owner in grams(batch.column(0).to_pylist(), known=known):
                 raw += np.bincount(bucket, minlength=BUCKETS)
                 target += np.bincount(bucket[good[first + owner]], minlength=BUCKETS)
         used = np.flatnonzero(raw)
@@ -139,12 +152,13 @@ def log_ratios(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.log((target + 0.5) / (expected + 0.5))
 
 
-def weights(texts: list[str | None], ratios: np.ndarray) -> np.ndarray:
+def weights(texts: list[str | None], ratios: np.ndarray, known: Words | None = None) -> np.ndarray:
     """The log importance weight of each text; 0 for a text without words."""
     total, n = np.zeros(len(texts)), np.zeros(len(texts))
-    for first, bucket, owner in grams(texts):
-        total += np.bincount(first + owner, ratios[bucket], len(texts))
-        n += np.bincount(first + owner, minlength=len(texts))
+    for first, bucket, owner in grams(texts, known=known):
+        here = int(owner[-1]) + 1
+        total[first : first + here] += np.bincount(owner, ratios[bucket], here)
+        n[first : first + here] += np.bincount(owner, minlength=here)
     return LENGTH * total / (n + FILL)
 
 
@@ -198,7 +212,9 @@ class Sampler:
         sample = sampled_labels(labels)
         self.ratios = log_ratios(documents, sample)
         self.scored = settled(self._weighed(documents))
-        known = self.scored.join(F.broadcast(sample.where("not fits")), "doc_id").select("log_weight", "good").limit(2 * LABELS).collect()
+        # one row for each labelled doc_id, so at most LABELS; of rows that repeat a doc_id the least weight counts
+        judged = self.scored.join(F.broadcast(sample.where("not fits")), "doc_id").groupBy("doc_id", "good").agg(F.min("log_weight").alias("log_weight"))
+        known = judged.orderBy("doc_id").select("log_weight", "good").collect()
         slope, intercept = calibrate(np.array([r[0] for r in known]), np.array([r[1] for r in known])) if known else (0.0, 50.0)
         odds = F.greatest(F.lit(-200.0), F.least(F.lit(200.0), F.col("log_weight"))) / 10 * slope + intercept
         expected, rows = self.scored.agg(F.sum(1 / (1 + F.exp(-odds))), F.count(F.lit(1))).first()
@@ -213,8 +229,9 @@ class Sampler:
         ratios = self.ratios
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield weigh(batch, weights(batch.column("text").to_pylist(), ratios))
+            known = Words()
+            for batch in slices(batches):
+                yield weigh(batch, weights(batch.column("text").to_pylist(), ratios, known))
 
         return run
 
@@ -226,8 +243,12 @@ class Sampler:
         return self.scored.select("doc_id", "log_weight", self._key().alias("gumbel_key")).withColumn("kept", F.col("gumbel_key") >= self.threshold)
 
     def kept(self, documents: DataFrame) -> DataFrame:
-        """The rows that stay, with their columns; the weight is computed beside the row, so no text is shuffled."""
-        name = "_shelfwise_log_weight"
+        """The rows that stay, with their columns; the weight is computed beside the row, so no text is shuffled.
+
+        Nulls, empty texts, ties and repeated rows are as in `classify`; an empty table gives an
+        empty result, and further columns, whatever their names, are carried along unchanged.
+        """
+        name = unused(documents, "log_weight")
         fields = [(f.name, f.dataType.simpleString()) for f in documents.schema.fields]
         schema = ", ".join(f"`{n}` {t}" for n, t in [*fields, (name, "double")])
         added = documents.mapInArrow(self._mapped(lambda batch, w: pa.RecordBatch.from_arrays([*batch.columns, pa.array(w)], names=[*batch.schema.names, name])), schema)
