@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfwise.llm._common import settled, table
+from shelfwise.llm._common import settled, slices, stored, table, unused
 from shelfwise.llm.components import components
 
 SHINGLE = 3
@@ -124,10 +124,14 @@ def cluster(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED, dist
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
 #: Shingles met so often in one of `SAMPLE` texts are common, the most frequent `COMMON` of them; they come last in a text's order.
-SAMPLE, OFTEN, COMMON = 8, 4, 1 << 16
+SAMPLE, OFTEN, COMMON = 16, 3, 1 << 16
 #: Most rounds in which each bucket compares its rows with one of them, before all its pairs across classes are compared;
-#: there are none once those pairs are at most so many a row.
-STAR_ROUNDS, FEW_PAIRS = 3, 4
+#: there are none once those pairs are at most so many a row, or less than that share of a round's pairs did link.
+STAR_ROUNDS, FEW_PAIRS, LEAST_LINKED = 4, 1, 0.1
+#: At most so many rows of two longs are broadcast to a join, beyond it is shuffled; sets that a verifying task remembers.
+BROADCAST_ROWS, SETS = 500_000, 32
+#: Sets that a task remembers to have named.
+MEMO_IDS = 200_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -155,6 +159,17 @@ def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Bits that tell of which hash remainders the set has an odd number, as longs; 4 to 8 bits a shingle.
+
+    The bits of two sets differ in no more places than the sets in shingles.  The halves of a longer
+    array, combined by exclusive or, are the array of half as many remainders.
+    """
+    bits = max(64, 1 << (4 * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    odd = np.bincount(shingles & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, int]:
     """The first shingles in the order of all texts, and how many of them are not common.
 
@@ -190,33 +205,57 @@ def common_shingles(documents: DataFrame, shingle: int = NEAR_SHINGLE) -> tuple[
     return hashes[order], ranks[order]
 
 
-def _marked(documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, key, id, n, rare, prefix) for each row; key is a hash of the text, equal shingle sets have equal ids, and `rare` of the prefix are not common."""
-    common, rank = common_shingles(documents, shingle)
+def _marked(documents: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, key, id, n, bits) for each row; key is a hash of the text, equal shingle sets have equal ids, n is the set's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes, rare, heads = [], [], [], []
-            for t in batch.column(2):
-                s = shingle_set(t.as_py(), shingle)
-                head, few = prefix(s, common, rank, similarity)
-                for column, value in ((ids, set_id(s)), (sizes, len(s)), (rare, few), (heads, head)):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "key", "id", "n", "rare", "prefix"])
+        for batch in slices(batches):
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(2)]
+            made = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "key", "id", "n", "bits"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, id long, n int, rare int, prefix array<bigint>")
+    return documents.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, id long, n int, bits array<bigint>")
+
 
+def _postings(documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(sig, id, n, pos, rare): the shingles of each text's prefix; a task names each set once.
 
-def _sets(documents: DataFrame, shingle: int) -> DataFrame:
-    """(id, s): the shingle set of each row."""
+    n is the size of the set, pos the shingle's place in the order of all texts, and rare tells
+    whether the sample did not show it to be common.
+    """
+    common, rank = common_shingles(documents, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [shingle_set(t.as_py(), shingle) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in made], pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["id", "s"])
+        seen: set[int] = set()
+        for batch in slices(batches):
+            heads, ids, sizes, few = [], [], [], []
+            for t in batch.column(0):
+                s = shingle_set(t.as_py(), shingle)
+                name = set_id(s)
+                if name in seen:
+                    continue
+                if len(seen) >= MEMO_IDS:
+                    seen.clear()
+                seen.add(name)
+                head, rare = prefix(s, common, rank, similarity)
+                for column, value in ((heads, head), (ids, name), (sizes, len(s)), (few, rare)):
+                    column.append(value)
+            if not heads:
+                continue
+            each = np.array([len(h) for h in heads])
+            pos = np.concatenate([np.arange(k) for k in each])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(heads)), pa.array(np.repeat(np.array(ids, dtype=np.int64), each)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), each)), pa.array(pos.astype(np.int32)), pa.array(pos < np.repeat(np.array(few), each))],
+                names=["sig", "id", "n", "pos", "rare"],
+            )
+
+    return documents.select("text").mapInArrow(run, "sig long, id long, n int, pos int, rare boolean")
 
-    return documents.select("text").mapInArrow(run, "id long, s array<bigint>")
+
+def _small(df: DataFrame) -> DataFrame:
+    """`df`, to be broadcast if its counted rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _may_link(a: str, b: str, similarity: float) -> Column:
@@ -229,16 +268,52 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
 
 
-def _tested(pairs: DataFrame, documents: DataFrame, marked: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(u, v, linked): the pairs, held against the whole shingle sets; sets are made only for texts that a pair names."""
-    pairs = settled(pairs)
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    named = marked.select("id", "doc_id").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    sets = _sets(documents.select("doc_id", "text").join(named, "doc_id", "left_semi"), shingle).join(wanted, "id", "left_semi")
-    sets = settled(sets.groupBy("id").agg(F.first("s").alias("s")))
-    side = lambda p: sets.select(F.col("id").alias(p), F.col("s").alias(f"{p}s"))
-    common = F.size(F.array_intersect("us", "vs"))
-    return settled(pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", (common >= F.lit(similarity) * (F.size("us") + F.size("vs") - common)).alias("linked")))
+def _indexed(documents: DataFrame, marked: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, n, bits) and (id, text) of the sets that the index names, one row each."""
+    named = _small(settled(index.select("id").distinct()))
+    of_id = marked.join(named, "id", "left_semi").groupBy("id").agg(F.first(F.struct("key", "n", "bits")).alias("m"))
+    sketches = stored(of_id.select("id", "m.key", "m.n", "m.bits"), "near-copies-sketches")
+    texts = documents.select(F.xxhash64("text").alias("key"), "text").join(_small(sketches.select("key", "id")), "key")
+    return sketches.select("id", "n", "bits"), stored(texts.groupBy("id").agg(F.first("text").alias("text")), "near-copies-texts")
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets may be similar enough, by the places in which their bits differ: none that is gets lost."""
+    side = lambda p: sketches.select(F.col("id").alias(p), F.col("n").alias(f"{p}_n"), F.col("bits").alias(f"{p}_bits"))
+    half = lambda p: f"zip_with(slice({p}_bits, 1, size({p}_bits) div 2), slice({p}_bits, size({p}_bits) div 2 + 1, size({p}_bits) div 2), (x, y) -> x ^ y)"
+    differ = lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    places = f"case when size(u_bits) = size(v_bits) then {differ('u_bits', 'v_bits')} when size(u_bits) = 2 * size(v_bits) then {differ(half('u'), 'v_bits')} when size(v_bits) = 2 * size(u_bits) then {differ('u_bits', half('v'))} else 0 end"
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(F.expr(places) <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("u_n") + F.col("v_n")) + 1e-6).select("u", "v")
+
+
+def _tested(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): the pairs that are similar enough, held against the whole shingle sets of their texts where their bits leave it open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def set_of(name: int, text: pa.Scalar) -> np.ndarray:
+            found = known.get(name)
+            if found is None:
+                if len(known) >= SETS:
+                    known.clear()
+                found = known[name] = shingle_set(text.as_py(), shingle)
+            return found
+
+        for batch in slices(batches):
+            linked = []
+            for u, v, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                left, right = set_of(u, a), set_of(v, b)
+                common = len(np.intersect1d(left, right, assume_unique=True))
+                linked.append(common >= similarity * (len(left) + len(right) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(linked, pa.bool_()))
+
+    pairs = settled(_likely(pairs, sketches, similarity))
+    wanted = settled(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    texts = texts.join(_small(wanted), "id", "left_semi")
+    side = lambda p: texts.select(F.col("id").alias(p), F.col("text").alias(f"{p}_text"))
+    whole = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_text", "v_text")
+    return settled(whole.mapInArrow(run, "u long, v long"))
 
 
 def _meetings(rows: DataFrame) -> int:
@@ -248,45 +323,56 @@ def _meetings(rows: DataFrame) -> int:
     return (of_bucket.agg(F.sum("twice")).first()[0] or 0) // 2
 
 
+def near_index(documents: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(sig, id, n, pos): the postings of shingles that the prefixes of several sets have."""
+    every = _postings(documents, shingle, similarity)
+    of_sig = W.partitionBy("sig")
+    rare = every.where("rare").withColumn("lo", F.min("id").over(of_sig)).withColumn("hi", F.max("id").over(of_sig)).where("lo <> hi").dropDuplicates(["sig", "id"]).select("sig", "id", "n", "pos")
+    often = every.where("not rare").dropDuplicates(["sig", "id"]).select("sig", "id", "n", "pos")
+    return stored(rare.unionByName(often), "near-copies-index")
+
+
 def near_links(documents: DataFrame, marked: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (u, v) of ids with verified links whose components are those of all pairs that are similar enough.
 
     Texts with a shared shingle in their prefixes are a bucket.  In each of a few rounds every bucket
     compares its members with one of them, and what links becomes a class.  Then all pairs of a
     bucket are compared that are of different classes.  A pair that is not compared is of one class.
-    The one row is of the bucket's largest class, a different one each round.
+    The one row is first the one that shares most of its prefix, as the original of edited copies
+    does; later it is one of the bucket's largest class, a different one each round.
     """
-    heads = marked.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
-    index = heads.select("id", "n", "rare", F.posexplode("prefix").alias("pos", "sig"))
-    rare = index.where("pos < rare").withColumn("members", F.count(F.lit(1)).over(W.partitionBy("sig"))).where("members > 1")
-    index = settled(rare.select("sig", "id", "n", "pos").unionByName(index.where("pos >= rare").select("sig", "id", "n", "pos")))
-    rows, tested = index.select("*", F.col("id").alias("root"), F.lit(1).cast("long").alias("size")), None
-    most = FEW_PAIRS * index.count()
+    index = near_index(documents, shingle, similarity)
+    sketches, texts = _indexed(documents, marked, index)
+    shared = settled(index.groupBy("id").agg(F.count(F.lit(1)).alias("size")))
+    rows, linked = index.join(shared, "id").select("sig", "id", "n", "pos", F.col("id").alias("root"), "size"), None
+    most, fruitful = FEW_PAIRS * index.count(), True
     for turn in range(STAR_ROUNDS + 1):
-        last = turn == STAR_ROUNDS or _meetings(rows) <= most
+        last = turn == STAR_ROUNDS or not fruitful or _meetings(rows) <= most
         if not last:
             buckets = rows.groupBy("sig").agg(F.max(F.struct("size", F.xxhash64("id", F.lit(turn)).alias("k"), "id", "n", "pos", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"))
             others = buckets.where("lo <> hi").select("sig", "p.id", "p.n", "p.pos", "p.root").alias("b")
         else:
             others = rows.alias("b")
-        pairs = _pairs(rows.alias("a").join(others, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.root") != F.col("b.root")) & _may_link("a", "b", similarity)))
-        new = _tested(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), documents, marked, shingle, similarity)
-        tested = new if tested is None else tested.unionByName(new)
+        pairs = settled(_pairs(rows.alias("a").join(others, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.root") != F.col("b.root")) & _may_link("a", "b", similarity))))
+        new = _tested(pairs, sketches, texts, shingle, similarity)
+        found = new.count()
+        fruitful = found >= LEAST_LINKED * pairs.count()
+        linked = new if linked is None else linked.unionByName(new)
         if last:
             break
-        if not new.where("linked").isEmpty():
-            classes = components(tested.where("linked").select("u", "v"))
+        if found:
+            classes = components(linked)
             classes = classes.join(classes.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
             rows = index.join(classes, index["id"] == classes["node"], "left").select(*index.columns, F.coalesce("root", "id").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
             mixed = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-            rows = settled(rows.join(mixed, "sig", "left_semi"))
-    return tested.where("linked").select("u", "v")
+            rows = stored(rows.join(mixed, "sig", "left_semi"), "near-copies-rows")
+    return linked
 
 
 def _classed(documents: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, key, first) of every row with a doc_id; first is the (doc_id, key) of its component that stays."""
     documents = documents.where(F.col("doc_id").isNotNull())
-    marked = settled(_marked(documents, shingle, similarity))
+    marked = stored(_marked(documents, shingle), "near-copies-sets")
     nodes = settled(marked.groupBy("id").agg(F.min(F.struct("doc_id", "key")).alias("least")))
     joined = components(near_links(documents, marked, shingle, similarity))
     rooted = nodes.join(joined, nodes["id"] == joined["node"], "left").select("id", "least", F.coalesce("root", "id").alias("root"))
@@ -311,9 +397,11 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     """One row of each component of `near_copies`, one with the smallest doc_id, with all its columns.
 
     Rows are told apart by doc_id and text, so different texts of one doc_id stay or go each by itself,
-    and of rows that repeat both one stays.  Rows without a doc_id are no copies and stay.
+    and of rows that repeat both one stays.  Rows without a doc_id are no copies and stay.  Texts without
+    words, null included, are copies of each other.  An empty table gives an empty result; further
+    columns, whatever their names, are carried along unchanged.
     """
-    key, classed = "_shelfwise_key", settled(_classed(documents))
+    key, classed = unused(documents, "near_copy_key"), settled(_classed(documents))
     stays = F.struct("doc_id", "key") == F.col("first")
     copies = classed.where(~stays).select("doc_id", F.col("key").alias(key)).distinct()
     left = documents.withColumn(key, F.xxhash64("text")).join(copies, ["doc_id", key], "left_anti")
