@@ -5,7 +5,11 @@ attributes' words say about its role, the same for its parent and its ancestors,
 text, links and tags in its subtree, place and likeness among its siblings.  Boosted trees, trained
 here on synthetic pages of known structure, give each node a log-odds of belonging to the main
 text.  Decoding picks, for the whole tree, the likeliest set of kept nodes in which nothing kept
-lies below anything dropped.
+lies below anything dropped.  Where it keeps no text, what lies outside boilerplate by tag, role and
+density of links is kept instead.
+
+Markup is read in one forward scan with the places of open elements at hand, so broken pages cost
+no more than others, and nesting may have any depth.
 """
 
 from __future__ import annotations
@@ -23,17 +27,21 @@ from shelfwise.llm._common import table
 from shelfwise.llm.html_pages import Pages
 
 SEED = 7
-TRAIN_PAGES = 800
+TRAIN_PAGES = 1000
 ROUNDS, DEPTH, RATE, BINS, LEAST = 50, 4, 0.3, 32, 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math".split())
+RAW = frozenset("script style template textarea title iframe".split())
 #: Elements that never hold main text.
-SILENT = RAW | frozenset("head select option button object canvas audio video".split()) - {"noscript"}
-INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+SILENT = RAW | frozenset("head select option button".split())
+#: What a head may hold; anything else ends it.
+HEAD = RAW | frozenset("base link meta noscript".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark math mfrac mi mn mo mrow msqrt msub msup mtext q s samp small span strike strong sub sup time tt u var wbr".split())
 #: An opening tag of the key closes an open element of the value, up to a wrapper.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 SCOPES = frozenset("ul ol dl table article section div main nav aside footer header form body html blockquote figure".split())
+#: Elements that a new block's search for an open paragraph does not leave, besides `SCOPES`.
+BARS_P = ("li", "td", "th", "button")
 #: Opening one of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
 TAGS = "div p li ul ol a b em i span strong h1 h2 h3 h4 article main section nav header footer aside form label input table tr td blockquote pre body br ins #text".split()
@@ -41,7 +49,8 @@ GOOD_ROLE = re.compile(r"article|content|main|post|entry|story|body|text")
 BAD_ROLES = tuple(re.compile(x) for x in (r"nav|menu|bread|crumb", r"head|mast|brand|tagline", r"foot|copyright", r"side|rail|widget|related|recommend", r"cookie|notice|consent|banner|alert|dialog|popup|modal|message", r"(^|[^a-z])ads?([^a-z]|$)|advert|promo|sponsor|adsby", r"form|search|login|newsletter|subscri|signup", r"comment|discuss|reply|respond", r"share|social|follow"))
 NOISE_TAGS = frozenset("nav header footer aside form".split())
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_EDGE = re.compile(r"[\"'>]")
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ROLE = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
@@ -60,20 +69,67 @@ class Tree:
         return len(self.tag) - 1
 
 
+class Open:
+    """The open elements, and where the last one of each name is; every step costs what it closes."""
+
+    def __init__(self, tree: Tree) -> None:
+        self.tree, self.stack, self.scopes = tree, [0], [0]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: int) -> None:
+        name = self.tree.tag[node]
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, *names: str) -> int:
+        """The place of the innermost open element of these names; 0 if none is open."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def close(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.tree.tag[self.stack.pop()]].pop()
+        while self.scopes[-1] >= place:
+            self.scopes.pop()
+
+
+def tag_end(markup: str, at: int) -> int:
+    """The place of the > that ends a tag, outside quotes; -1 if there is none or a quote stays open."""
+    while True:
+        edge = _EDGE.search(markup, at)
+        if not edge:
+            return -1
+        if edge.group() == ">":
+            return edge.start()
+        closed = markup.find(edge.group(), edge.end())
+        if closed < 0:
+            return -1
+        at = closed + 1
+
+
 def parse(markup: str) -> Tree:
-    """The tree of a page.  Unclosed, stray and misnested tags never fail; scripts and the like lose their content."""
-    tree, stack, at, end = Tree(), [0], 0, len(markup)
+    """The tree of a page.  Unclosed, stray and misnested tags never fail; scripts and the like lose their content.
+
+    Once a tag's quotes or end are not found, the rest of the page is read without regard to quotes.
+    """
+    tree, at, end = Tree(), 0, len(markup)
+    opened, quoted, last_end = Open(tree), True, markup.rfind(">")
+    raw_ends: dict[str, bool] = {}
 
     def say(raw: str) -> None:
         if raw and not raw.isspace():
-            tree.add("#text", "", stack[-1], html_lib.unescape(raw))
+            if tree.tag[opened.stack[-1]] == "head":
+                opened.close(opened.last("head"))
+            tree.add("#text", "", opened.stack[-1], html_lib.unescape(raw))
         elif raw:
-            tree.add("#text", "", stack[-1], " ")
+            tree.add("#text", "", opened.stack[-1], " ")
 
     while at < end:
         lt = markup.find("<", at)
-        if lt < 0:
-            say(markup[at:])
+        if lt < 0 or lt > last_end:  # no tag can end any more
+            mark = _MARK.match(markup, lt) if lt >= 0 else None
+            say(markup[at : lt if mark else end])
             break
         if lt > at:
             say(markup[at:lt])
@@ -88,38 +144,34 @@ def parse(markup: str) -> Tree:
             say("&lt;")
             at = lt + 1
             continue
-        at, name = found.end(), found.group(2).lower()
+        stop = tag_end(markup, found.end()) if quoted else markup.find(">", found.end())
+        if stop < 0:
+            quoted, stop = False, markup.find(">", found.end())
+        attrs, name, at = markup[found.end() : stop], found.group(2).lower(), stop + 1
         if found.group(1):
-            for k in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[k]] == name:
-                    del stack[k:]
-                    break
-                if name in INLINE and tree.tag[stack[k]] in SCOPES:
-                    break
+            place = opened.last(name)
+            if place and not (name in INLINE and opened.scopes[-1] > place):
+                opened.close(place)
             continue
+        if name not in HEAD and (place := opened.last("head")) and name != "head":
+            opened.close(place)
         if name in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[k]] == "p":
-                    del stack[k:]
-                    break
-                if tree.tag[stack[k]] in SCOPES or tree.tag[stack[k]] in ("li", "td", "th", "button"):
-                    break
-        for k in range(len(stack) - 1, 0, -1):
-            if name not in CLOSES or tree.tag[stack[k]] in SCOPES:
-                break
-            if tree.tag[stack[k]] in CLOSES[name]:
-                del stack[k:]
-                break
-        node = tree.add(name, found.group(3), stack[-1])
-        if name in VOID or found.group(3).endswith("/"):
+            place = opened.last("p")
+            if place > max(opened.scopes[-1], opened.last(*BARS_P)):
+                opened.close(place)
+        if name in CLOSES:
+            place = opened.last(*CLOSES[name])
+            if place > opened.scopes[-1]:
+                opened.close(place)
+        node = tree.add(name, attrs, opened.stack[-1])
+        if name in VOID or attrs.endswith("/"):
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(markup, at)
+            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(markup, at) if raw_ends.get(name, True) else None
+            raw_ends[name] = close is not None
             at = close.end() if close else end
             continue
-        stack.append(node)
-        if len(stack) > 400:  # deeper nesting is flattened, its text stays
-            stack.pop()
+        opened.push(node)
     return tree
 
 
@@ -143,6 +195,8 @@ def role(attrs: str) -> list[float]:
 
 
 WIDTH = 18 + 3 * (1 + len(BAD_ROLES))
+#: Columns of the features: characters below a node, and the share of them in links.
+CHARS, LINKED = 3, 4
 TAG_INDEX = {t: k + 1 for k, t in enumerate(TAGS)}
 
 
@@ -314,6 +368,21 @@ def decode(tree: Tree, odds: np.ndarray) -> np.ndarray:
     return kept
 
 
+def outside_boilerplate(tree: Tree, rows: np.ndarray) -> np.ndarray:
+    """Kept nodes where the trees keep no text: all that is in no boilerplate by tag or role, and in no block that is mostly links."""
+    kept = np.zeros(len(tree.tag), dtype=bool)
+    kept[0] = True
+    chars, linked = rows[:, CHARS].tolist(), rows[:, LINKED].tolist()
+    most = max(chars)
+    for k in range(1, len(kept)):
+        tag = tree.tag[k]
+        # a wrapper of all the page may be named by its header; only what holds less than half of the text is judged by its role
+        named = chars[k] * 2 < most and any(role(tree.attrs[k])[1:])
+        crowded = tag not in INLINE and tag != "#text" and linked[k] > 0.5
+        kept[k] = kept[tree.parent[k]] and tag not in SILENT and tag not in NOISE_TAGS and not named and not crowded
+    return kept
+
+
 def assemble(tree: Tree, kept: np.ndarray) -> str:
     """Kept text runs in page order: inline runs adjoin, blocks and line breaks part, white space becomes one space."""
     out: list[str] = []
@@ -342,7 +411,8 @@ def extract(markups: list[str | None], model: Boost) -> list[str]:
     out, at = [], 0
     for tree in trees:
         n = len(tree.tag)
-        out.append(assemble(tree, decode(tree, odds[at : at + n])))
+        text = assemble(tree, decode(tree, odds[at : at + n]))
+        out.append(text or assemble(tree, outside_boilerplate(tree, rows[len(out)])))
         at += n
     return out
 

@@ -1,8 +1,9 @@
 """Synthetic pages with known main text, on which the extraction model is trained.
 
 A page is built as a tree of (tag, attributes, children, wanted); text children are strings.  The
-templates vary wrappers, class names, the place of boilerplate, unclosed tags and lengths, so that
-the model learns roles rather than one layout.
+templates vary wrappers, class names, the place of boilerplate, unclosed tags and lengths; some
+have no wrapper, one without a telling name, or a table, so that the model learns roles rather than
+one layout.
 """
 
 from __future__ import annotations
@@ -84,15 +85,33 @@ class Pages:
         text = self.prose(r.choice((1, 3, 9)))
         if r.random() < 0.25:
             cut = text.rfind(" ", 0, max(2, len(text) // 2))
+            if r.random() < 0.3:
+                formula: Node = ("math", "", [(t, "", [x], True) for t, x in (("mi", self.words(1, 1)[0]), ("mo", r.choice("=+-")), ("mn", str(r.randint(0, 99))))], True)
+                return ("p", "", [text[: cut + 1], formula if r.random() < 0.5 else (r.choice(("code", "sub", "kbd", "q")), "", [self.words(1, 1)], True), text[cut:]], True)
             inline = (r.choice(("b", "em", "i", "strong", "span")), "", [text[cut + 1 :]], True) if r.random() < 0.6 else ("a", 'href="/x"', [text[cut + 1 :]], True)
             return ("p", "", [text[: cut + 1], inline], True)
         if r.random() < 0.2:
             return ("p", "", [("b", "", [text, ("br", "", [], True)], True)], True)
         return ("p", "", [text], True)
 
-    def main_text(self) -> Node:
+    def wrapped(self, body: list) -> list:
+        """The main text in an element that says so, in one that does not, in a cell of a table, or in none."""
+        r, x = self.r, self.r.random()
+        if x < 0.55:
+            return [(*r.choice(GOOD_WRAPPERS), body, True)]
+        if x < 0.7:
+            return [("div", "", body, True)]
+        if x < 0.8:
+            return [(r.choice(("div", "section")), f'class="{r.choice(("css-", "sc-", "x", ""))}{r.getrandbits(28):x}"', body, True)]
+        if x < 0.9:
+            return body
+        cells: list = [("td", "", body, True)]
+        if r.random() < 0.6:
+            cells.insert(r.randint(0, 1), ("td", "", [self.noise(r.choice(("menu", "sidebar")))], False))
+        return [("table", r.choice(("", 'width="100%"')), [("tr", "", cells, True)], True)]
+
+    def main_text(self) -> list:
         r = self.r
-        tag, attrs = r.choice(GOOD_WRAPPERS)
         body: list = [(r.choice(("h1", "h1", "h2")), "", [self.words(2, 10)], True)] if r.random() < 0.9 else []
         for _ in range(r.choice((0, 1, 1, 2, 4, 8, 16))):
             x = r.random()
@@ -115,7 +134,7 @@ class Pages:
                 body.insert(r.randint(1, len(body)), self.noise(kind))
         if r.random() < 0.15:
             body.append(self.noise("comments"))
-        return (tag, attrs, body, True)
+        return self.wrapped(body)
 
     def body(self) -> Node:
         r = self.r
@@ -125,7 +144,7 @@ class Pages:
             r.shuffle(before)
         if r.random() < 0.08:
             before.append(self.words(1, 4))
-        middle: list = [self.main_text()]
+        middle: list = self.main_text()
         while r.random() < 0.35:
             tag, attrs = r.choice(SHELLS)
             if r.random() < 0.3:

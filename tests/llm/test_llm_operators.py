@@ -1,8 +1,10 @@
 """Each operator against plain Python on small tables: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -62,7 +64,11 @@ def test_exact_dedup(docs, empty):
         mine = [r for r in got if r["text_sha256"] == h]
         assert {(r["group_size"], r["keep_id"]) for r in mine} == {(len(members), max((m for m in members if m is not None), default=None))}
         assert sum(r["kept"] for r in mine) == 1
-    assert exact_dedup.deduplicate(docs).count() == len(groups) and exact_dedup.deduplicate(docs).columns == docs.columns
+    left = exact_dedup.deduplicate(docs)
+    assert left.count() == len(groups) and left.columns == docs.columns
+    clashing = docs.withColumns({"text_digest": F.lit("d"), "place_in_group": F.lit(7), "heavy_id": F.lit(None)})
+    assert {(r["text_digest"], r["place_in_group"], r["_shelfwise_rank"]) for r in exact_dedup.deduplicate(clashing).collect()} == {("d", 7, "r")}
+    assert {(r["mix_rate"], r["rate"]) for r in mixing.mix(docs.withColumn("mix_rate", F.lit("m"))).collect()} == {("m", 0.5)}
     assert exact_dedup.assign(empty).count() == 0
 
 
@@ -313,6 +319,49 @@ def test_html(spark):
     assert html_extract.main_text(pages.where("1 = 0"), model).count() == 0
 
 
+def test_html_layouts_without_names():
+    """The main text is found in plain, hashed, absent and table wrappers; markup of formulas is kept, a page of boilerplate is empty."""
+    model = html_extract.train()
+    said = [f"Sentence number {k} tells of things, and of others that come after it." for k in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in said)
+    menu = '<div class="menu"><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li><li><a href=/c>Us</a></li></ul></div>'
+    foot = "<footer>Copyright 2020 us</footer>"
+    pages = [
+        f"<body><div>{body}</div>", f'<body>{menu}<div class="css-1x8f">{body}</div>{foot}</body>', f"<body>{body}</body>", f"<div>{body}</div>" + "</b></i>" * 50, "<div>" * 3000 + body + "</div>" * 3000,
+        f"<body>{menu}<table><tr><td><ul><li><a href=/x>One</a><li><a href=/y>Two</a></ul></td><td>{body}</td></tr></table>{foot}</body>", f'<head><title>T</title>{body}<body class="has-header">',
+    ]
+    assert html_extract.extract(pages, model) == [" ".join(said)] * len(pages)
+    others = ["<body>Some bare text here.<br>More of it.</body>", "<article><h1>T</h1><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be so, and more text here.</p></article>", f"<body>{menu}{foot}</body>", '<p title="open>One text</p><p>and more of it.</p>']
+    assert html_extract.extract(others, model) == ["Some bare text here. More of it.", "T Let x=1 be so, and more text here.", "", "One text and more of it."]
+
+
+def test_html_broken_pages_cost_no_more():
+    for bad in ("<a " * 300_000, '<a "x>"' * 100_000, "<div>" * 50_000 + "</b>" * 100_000, "<b><div>" + "<x>" * 50_000 + "</b>" * 100_000, "<!-- " * 200_000, "<script>" * 100_000, "</p>" * 200_000, "<" * 500_000):
+        began = time.time()
+        html_extract.parse(bad)
+        assert time.time() - began < 5, bad[:20]
+
+
+def test_decoding_is_the_likeliest_choice():
+    """Against all sets in which kept nodes have kept parents, on small trees."""
+    r = np.random.default_rng(4)
+    for _ in range(30):
+        tree, n = html_extract.Tree(), 9
+        for k in range(1, n):
+            tree.add(r.choice(["div", "p", "script"]) if k < 6 else "#text", "", int(r.integers(0, min(k, 6))), "x")
+        odds = r.normal(size=n) * 2
+        gain = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
+
+        def worth(kept, tree=tree, gain=gain):
+            return sum(gain[0 if kept[k] else 1][k] for k in range(1, len(kept)))
+
+        best = max(
+            worth(kept) for kept in itertools.product((False, True), repeat=n)
+            if kept[0] and all(kept[tree.parent[k]] and tree.tag[k] != "script" for k in range(1, n) if kept[k])
+        )
+        assert worth(html_extract.decode(tree, odds)) == pytest.approx(best)
+
+
 def test_kept_nodes_have_kept_parents():
     model, pages = html_extract.train(), html_extract.Pages(5)
     for _ in range(20):
@@ -333,6 +382,55 @@ def test_quality(spark, docs, empty):
     assert quality.classify(empty, labels).count() == 0
 
 
+def test_quality_against_plain_counting(spark, monkeypatch):
+    """Counts, weights and kept rows by plain Python; the length of a run and words longer than any memo change nothing."""
+    texts = [prose(r, 40 + r) + " " + "ab1-" * (r % 3 * 30) + " " + "Word Word word" * (r % 2) for r in range(1, 90)]
+    texts += [None, "", " \n", "x" * 500 + "1" * 500 + " tail", prose(3000, 9)]
+
+    def scramble(x):
+        x = x * 0x9E3779B97F4A7C15 % 2**64
+        return ((x ^ x >> 29) * 0xBF58476D1CE4E5B9 % 2**64 >> 48) % quality.BUCKETS
+
+    def plain(text):
+        out, before = [], None
+        for w in (text or "").split():
+            word = xxhash.xxh32_intdigest(w.lower().strip(".,;:!?").encode())
+            form = re.sub(r"(.)\1+", r"\1", "".join("x" if c.islower() else "X" if c.isupper() else "9" if c.isdigit() else c for c in w), flags=re.S)
+            form = xxhash.xxh32_intdigest(form.encode()) >> 1
+            seed = 1 if before is None else before[1] * 3 + 2
+            out += [scramble(word), scramble((seed * 0xC2B2AE3D27D4EB4F + form * 2 + (before is not None and before[0] == word)) % 2**64)]
+            before = (word, form)
+        return out
+
+    want = [sorted(plain(t)) for t in texts]
+    for run, piece in ((50_000, 1 << 18), (7, 100), (1, 10)):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        monkeypatch.setattr(quality.word_lists, "__defaults__", (piece,))
+        got = [[] for _ in texts]
+        for first, bucket, owner in quality.grams(texts, run=run):
+            for b, o in zip(bucket.tolist(), owner.tolist(), strict=True):
+                got[first + o].append(b)
+        assert [sorted(g) for g in got] == want
+
+    frame = spark.createDataFrame([(k, t, "clash", 1.0) for k, t in enumerate(texts)], "doc_id long, text string, gumbel_key string, log_weight double").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    sampler = quality.Sampler(frame, labels)
+    fits = {r["doc_id"] for r in quality.sampled_labels(labels).where("good and fits").collect()}
+    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for k, g in enumerate(want):
+        for b in g:
+            raw[b] += 1
+            target[b] += k in fits
+    ratios = np.log((target + 0.5) / (raw * (target.sum() / raw.sum()) + 0.5))
+    weight = {k: quality.LENGTH * sum(ratios[b] for b in g) / (len(g) + quality.FILL) for k, g in enumerate(want)}
+    rows_ = sampler.decisions().collect()
+    assert all(r["log_weight"] == pytest.approx(weight[r["doc_id"]], abs=1e-9) for r in rows_) and len(rows_) == len(texts)
+    by_key = sorted(rows_, key=lambda r: -r["gumbel_key"])
+    assert {r["doc_id"] for r in rows_ if r["kept"]} == {r["doc_id"] for r in by_key[: sampler.k]}
+    kept = sampler.kept(frame)
+    assert kept.columns == frame.columns and {(r["doc_id"], r["gumbel_key"], r["log_weight"]) for r in kept.collect()} == {(r["doc_id"], "clash", 1.0) for r in by_key[: sampler.k]}
+
+
 def test_kth_largest(spark):
     r = random.Random(1)
     values = [r.choice([0.5, r.random(), r.random() * 1e6]) for _ in range(3000)]
