@@ -2,14 +2,15 @@
 
 A vector is rotated by sign flips and fast Hadamard transforms, three times over; its hash is the
 coordinate of largest magnitude with its sign, the nearest vertex of the cross-polytope.  A table's
-bucket joins `HASHES` such hashes.  Each vector is filed in one bucket of each of `TABLES` tables and
+bucket joins one to three such hashes, fewer for wider vectors, whose hashes tell more apart; narrow
+vectors are padded to `LEAST_WIDTH`, so that there are rotations enough.  Each vector is filed in one bucket of each of `TABLES` tables and
 looks, besides, in the buckets that exchange one hash for its runner-up (multiprobe).  Pairs that
 meet are screened inside the join by the Hamming distance of 128 sign bits, named once, and verified
 by their cosine in double precision.
 
 Equal vectors are one node, whatever the number of their rows.  A pair that has met in an earlier
-table's own bucket is not named again, so a dense cluster costs its links and little more.  No
-bucket is capped.
+table's own bucket, as the whole codes of those buckets tell, is not named again, so a dense cluster
+costs its links and little more.  No bucket is capped.
 """
 
 from __future__ import annotations
@@ -26,14 +27,20 @@ from shelfwise.llm._common import settled, table
 from shelfwise.llm.components import components
 
 COSINE = 0.9
-HASHES = 3
-#: Tables; the codes that tell which table named a pair first take 16 bits each of three longs.
+#: Tables; a table's code, the numbers of its hashes, takes half of one of six longs.
 TABLES = 12
+LEAST_WIDTH = 32
 SEED = 29
 SIGN_BITS = 128
 #: Two vectors of cosine 0.9 differ in 18.4 of 128 sign bits on average, with a deviation of 4.
 SIGN_DISTANCE = 38
-BUCKET_SCHEMA = "node long, probe boolean, tab int, sig long, s0 long, s1 long, c0 long, c1 long, c2 long"
+CODES = [f"c{k}" for k in range(TABLES // 2)]
+BUCKET_SCHEMA = "node long, probe boolean, tab int, sig long, s0 long, s1 long, " + ", ".join(f"{c} long" for c in CODES)
+
+
+def hashes_of(width: int) -> int:
+    """How many hashes a bucket joins, by the padded width: their numbers fit 32 bits."""
+    return 3 if width <= 128 else 2 if width <= 4096 else 1
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -56,39 +63,38 @@ def rotate(x: np.ndarray, number: int, seed: int = SEED) -> np.ndarray:
 
 
 def _padded(unit: np.ndarray) -> np.ndarray:
-    width = 1 << max(1, (unit.shape[1] - 1).bit_length())
+    width = max(LEAST_WIDTH, 1 << (unit.shape[1] - 1).bit_length())
     return np.pad(unit, ((0, 0), (0, width - unit.shape[1])))
 
 
 def buckets(unit: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of unit length: signatures (rows, tables, 1 + probes), sign bits (rows, 2), codes (rows, 3)."""
+    """For rows of unit length: signatures (rows, tables, 1 + probes), sign bits (rows, 2), codes (rows, tables / 2)."""
     dim, x = unit.shape[1], _padded(unit)
     n, d = x.shape
-    two = np.uint64(2 * d)
-    signatures = np.empty((n, TABLES, 1 + HASHES), dtype=np.uint64)
+    two, hashes = np.uint64(2 * d), hashes_of(d)
+    signatures = np.empty((n, TABLES, 1 + hashes), dtype=np.uint64)
+    codes = np.zeros((n, TABLES // 2), dtype=np.uint64)
     every = np.arange(n)
     for t in range(TABLES):
         best, second = [], []
-        for k in range(HASHES):
-            y = rotate(x, t * HASHES + k, seed)
+        for k in range(hashes):
+            y = rotate(x, t * 3 + k, seed)
             size = np.abs(y)
             first = size.argmax(1)
             size[every, first] = -1
             runner = size.argmax(1)
             best.append((first * 2 + (y[every, first] < 0)).astype(np.uint64))
             second.append((runner * 2 + (y[every, runner] < 0)).astype(np.uint64))
-        for p in range(1 + HASHES):
-            code = np.full(n, dim, dtype=np.uint64)
-            for k in range(HASHES):
+        for p in range(1 + hashes):
+            code = np.zeros(n, dtype=np.uint64)
+            for k in range(hashes):
                 code = code * two + (second[k] if k == p - 1 else best[k])
-            signatures[:, t, p] = (code * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64((t + 1) * 0xC2B2AE3D27D4EB4F % 2**64)
+            if not p:
+                codes[:, t // 2] |= code << np.uint64(32 * (t % 2))
+            whole = code + (np.uint64(dim) << np.uint64(32))
+            signatures[:, t, p] = (whole * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64((t + 1) * 0xC2B2AE3D27D4EB4F % 2**64)
     signs = np.concatenate([rotate(x, 1000 + k, seed) >= 0 for k in range(-(-SIGN_BITS // d))], axis=1)[:, :SIGN_BITS]
-    bits = np.packbits(signs, axis=1).view(np.uint64)
-    short = (signatures[:, :, 0] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)
-    codes = np.zeros((n, 3), dtype=np.uint64)
-    for t in range(TABLES):
-        codes[:, t // 4] |= short[:, t] << np.uint64(16 * (t % 4))
-    return signatures, bits, codes
+    return signatures, np.packbits(signs, axis=1).view(np.uint64), codes
 
 
 def _rows(column: pa.Array) -> list[np.ndarray | None]:
@@ -130,14 +136,15 @@ def filed(nodes: DataFrame, seed: int = SEED) -> DataFrame:
                     x = np.stack([rows[k] for k in which])
                     x = x / np.abs(x).max(1)[:, None]
                     signatures, bits, codes = buckets(x / np.linalg.norm(x, axis=1)[:, None], seed)
-                    n, each = len(which), TABLES * (2 + HASHES)
+                    n, probes = len(which), signatures.shape[2]
+                    each = TABLES * (1 + probes)
                     sig = np.concatenate([signatures[:, :, :1], signatures], axis=2).reshape(-1)
-                    probe = np.tile(np.array([False] + [True] * (1 + HASHES)), n * TABLES)
-                    tab = np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), 2 + HASHES), n)
+                    probe = np.tile(np.array([False] + [True] * probes), n * TABLES)
+                    tab = np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), 1 + probes), n)
                     wide = lambda a: pa.array(np.repeat(a, each).view(np.int64))
                     yield pa.RecordBatch.from_arrays(
-                        [wide(ids[which]), pa.array(probe), pa.array(tab), pa.array(sig.view(np.int64)), wide(bits[:, 0].copy()), wide(bits[:, 1].copy()), *(wide(codes[:, k].copy()) for k in range(3))],
-                        names=["node", "probe", "tab", "sig", "s0", "s1", "c0", "c1", "c2"],
+                        [wide(ids[which]), pa.array(probe), pa.array(tab), pa.array(sig.view(np.int64)), wide(bits[:, 0].copy()), wide(bits[:, 1].copy()), *(wide(codes[:, k].copy()) for k in range(len(CODES)))],
+                        names=["node", "probe", "tab", "sig", "s0", "s1", *CODES],
                     )
 
     return nodes.select("node", "vector").mapInArrow(run, BUCKET_SCHEMA)
@@ -147,7 +154,7 @@ def candidates(nodes: DataFrame, seed: int = SEED) -> DataFrame:
     """Pairs u < v of nodes that meet in a bucket and pass the screen, each once."""
     rows = settled(filed(nodes, seed))
     at_home, looking = rows.where("not probe").alias("a"), rows.where("probe").alias("b")
-    met_before = " or ".join(f"(b.tab > {t} and (shiftrightunsigned(a.c{t // 4} ^ b.c{t // 4}, {16 * (t % 4)}) & 65535) = 0)" for t in range(TABLES - 1))
+    met_before = " or ".join(f"(b.tab > {t} and (shiftrightunsigned(a.c{t // 2} ^ b.c{t // 2}, {32 * (t % 2)}) & 4294967295L) = 0)" for t in range(TABLES - 1))
     near = F.expr(f"a.sig = b.sig and a.node <> b.node and bit_count(a.s0 ^ b.s0) + bit_count(a.s1 ^ b.s1) <= {SIGN_DISTANCE} and not ({met_before})")
     met = at_home.join(looking, near).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
     return met.distinct()
