@@ -3,7 +3,10 @@
 Every version of every path is content-addressed: its text's SHA-256 names a blob.  The ledger
 holds, for each blob and rule version that has been scanned, the findings (none included).  A run
 scans only the (blob, rule version) pairs that the ledger lacks, each once however many paths hold
-the blob, and joins the findings back to all paths.
+the blob, and joins the findings back to all paths.  `update` keeps the ledger as a Parquet table
+and appends to it; a second run over the same versions scans nothing.
+
+Findings of blobs that many paths hold are broadcast to those paths, the others meet by a shuffle.
 
 A rule's pattern is applied once to split a text and once to extract its matches; the lengths of
 gaps and matches, added up, are the spans.  Offsets count code points, the end is exclusive.
@@ -11,12 +14,14 @@ gaps and matches, added up, are the spans.  Offsets count code points, the end i
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm._common import settled, table
+from shelfwise.llm._common import ensure_checkpoint_dir, settled, table
 
 
 @dataclass(frozen=True)
@@ -41,6 +46,11 @@ RULES = (
 )
 
 FINDINGS = "array<struct<start:int,stop:int>>"
+LEDGER = f"blob string, rule string, spans {FINDINGS}"
+#: Matches whose spans are added up at a time.
+BLOCK = 128
+#: A blob is held by many paths if they are more than one in so many of all, so there are fewer such blobs.
+HEAVY_SHARE = 1000
 
 
 def findings(text: Column, rule: Rule) -> Column:
@@ -49,7 +59,7 @@ def findings(text: Column, rule: Rule) -> Column:
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     zipped = F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), F.arrays_zip(whole.alias("w"), part.alias("p")), lambda g, m: F.struct(F.length(g).alias("g"), F.length(m["w"]).alias("w"), F.length(m["p"]).alias("p")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {FINDINGS})").alias("found"))
+    none = F.expr(f"cast(array() as {FINDINGS})")
 
     def step(state: Column, m: Column) -> Column:
         begin = state["at"] + m["g"]
@@ -57,8 +67,12 @@ def findings(text: Column, rule: Rule) -> Column:
         span = F.array(F.struct(begin.alias("start"), end.alias("stop")))
         return F.struct(end.alias("at"), F.when(m["p"] >= rule.least, F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
 
-    spans = F.aggregate(zipped, start, step, lambda s: s["found"])
-    return F.when(text.rlike(rule.pattern), spans).otherwise(F.expr(f"cast(array() as {FINDINGS})"))
+    # an array grows by copying, so the matches are walked in blocks: where each begins, then the spans inside it
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / F.lit(BLOCK)).cast("int")), lambda b: F.slice(zipped, b * BLOCK + 1, F.lit(BLOCK)))
+    sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda s, m: s + m["g"] + m["w"]))
+    begins = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+    spans = F.flatten(F.zip_with(blocks, begins, lambda block, at: F.aggregate(block, F.struct(at.alias("at"), none.alias("found")), step, lambda s: s["found"])))
+    return F.when(text.rlike(rule.pattern), spans).otherwise(none)
 
 
 def versions(paths: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,21 +118,54 @@ def report(seen: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES)
     of_blob = settled(hits.groupBy("blob").agg(F.array_sort(flat).alias("found")))
     said = F.array_join(F.transform("found", lambda s: F.concat_ws(":", F.element_at(kinds, s["k"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
     counts = [F.expr(f"cast(size(filter(found, s -> s.k = {k})) as bigint)").alias(f"n_{r.kind}") for k, r in enumerate(rules)]
-    joined = seen.join(of_blob.select("blob", *counts, said.alias("spans")), "blob", "left")
+    told = of_blob.select("blob", *counts, said.alias("spans"))
+    rows = seen.count()
+    held = seen.groupBy("blob").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HEAVY_SHARE > rows).select("blob")
+    heavy = F.broadcast(settled(held.join(told, "blob", "left")))
+    joined = seen.join(heavy, "blob").unionByName(seen.join(heavy.select("blob"), "blob", "left_anti").join(told, "blob", "left"))
     numbers = [F.coalesce(f"n_{r.kind}", F.lit(0).cast("long")).alias(f"n_{r.kind}") for r in rules]
     spans = F.coalesce("spans", F.lit(""))
     return joined.select(F.col("path").alias("doc_id"), *numbers, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+@dataclass(frozen=True)
+class Update:
+    """What a run added to the ledger, and the report over all versions it was given."""
+
+    additions: DataFrame
+    report: DataFrame
+
+
+def update(paths: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> Update:
+    """Scans the versions that the ledger at `ledger_path` lacks, appends what was found, and reports all versions.
+
+    The folder must be one that all executors share; where it does not exist yet, the ledger is
+    empty.  Nulls, empty texts, repeated rows and empty tables are as in `find`.
+    """
+    spark = paths.sparkSession
+    try:
+        ledger = spark.read.schema(LEDGER).parquet(ledger_path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        ledger = None
+    seen, additions = scan(paths, ledger, rules, path, text)
+    additions.write.mode("append").parquet(ledger_path)
+    known = spark.read.schema(LEDGER).parquet(ledger_path).join(seen.select("blob").distinct(), "blob", "left_semi") if ledger is not None else additions
+    return Update(additions, report(seen, known, rules))
+
+
 def find(documents: DataFrame) -> DataFrame:
-    """`report` over a first run, with an empty ledger.
+    """`report` over a first run; its ledger is a folder of its own beside the checkpoints.
 
     A null text counts as empty and has no findings; repeated rows and equal texts get equal
     results; a null doc_id is carried along.  An empty table gives an empty result; columns other
     than doc_id and text are not read.
     """
-    seen, additions = scan(documents)
-    return report(seen, additions)
+    spark = documents.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/secret-ledger-{uuid.uuid4().hex}"
+    return update(documents, folder).report
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,7 +186,7 @@ def plain_secrets(t):
     return ",".join(x[2] for x in sorted(out))
 
 
-def test_secrets_and_ledger(spark, docs, empty):
+def test_secrets_and_ledger(spark, docs, empty, tmp_path):
     assert rows(secrets.find(docs), "doc_id", "spans") == sorted(((d, plain_secrets(t)) for d, t in TEXTS), key=str)
     seen, first = secrets.scan(docs)
     known = first.where("blob <> sha2('one', 256)")
@@ -197,6 +197,22 @@ def test_secrets_and_ledger(spark, docs, empty):
     assert rows(secrets.report(seen, known.unionByName(again)), "doc_id", "spans") == rows(secrets.find(docs), "doc_id", "spans")
     assert secrets.find(empty).count() == 0
 
+    path, half = str(tmp_path / "ledger"), docs.where("doc_id < 9")
+    assert secrets.update(half, path).additions.select("blob").distinct().count() == len({t or "" for d, t in TEXTS if d is not None and d < 9})
+    whole = secrets.update(docs, path)
+    assert whole.additions.select("blob").distinct().count() == len({t or "" for _, t in TEXTS}) - len({t or "" for d, t in TEXTS if d is not None and d < 9})
+    assert rows(whole.report, "doc_id", "spans") == rows(secrets.find(docs), "doc_id", "spans")
+    assert secrets.update(docs, path).additions.count() == 0  # nothing is scanned twice
+    assert {r["rule"] for r in secrets.update(docs, path, newer).additions.collect()} == {"assign@2"}
+    assert rows(secrets.update(docs, path, newer).report, "doc_id", "spans") == rows(secrets.find(docs), "doc_id", "spans")
+
+
+def test_secrets_of_long_and_of_frequent_texts(spark):
+    long = "x " + "token=abcdefgh1 " * 3000 + "AKIA" + "Z9" * 8
+    made = [(k, "password: hunter2hunter2" if k % 2 else long if k == 0 else f"plain {k}") for k in range(3000)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.find(spark.createDataFrame(made, "doc_id long, text string").repartition(6)).collect()}
+    assert got == {d: plain_secrets(t) for d, t in made}
+
 
 def test_mixing(spark, docs, empty):
     got = mixing.assign(docs).collect()
@@ -240,9 +256,10 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.cluster(df.where("1 = 0")).count() == 0
 
 
-def test_embedding_recall_at_the_threshold():
+@pytest.mark.parametrize("width", [2, 3, 8, 64, 128, 200, 384, 768, 1024])
+def test_embedding_recall_at_the_threshold(width):
     r = np.random.default_rng(9)
-    a = r.normal(size=(1500, 64))
+    a = r.normal(size=(400, width))
     a /= np.linalg.norm(a, axis=1)[:, None]
     n = r.normal(size=a.shape)
     n -= (n * a).sum(1)[:, None] * a
@@ -253,6 +270,21 @@ def test_embedding_recall_at_the_threshold():
     assert (met & signs).mean() >= 0.9
 
 
+def test_embedding_groups_and_wide_vectors(spark):
+    """Dense groups of vectors of several widths against brute force, one vector in many rows, and a very long vector."""
+    r, rows_, want = np.random.default_rng(7), [(9000, [1.0] * 20000), (9001, [2.0] * 20000)], {}
+    for width in (3, 48, 300):
+        centre = r.normal(size=(5, width))
+        made = np.concatenate([c + s * np.linalg.norm(c) / np.sqrt(width) * r.normal(size=(20, width)) for c in centre for s in (0.05, 0.2)] + [centre[:1]] * 20)
+        u = made / np.linalg.norm(made, axis=1)[:, None]
+        for v, n in zip(made, (u @ u.T >= 0.9).sum(1) - 1, strict=True):
+            want[len(want)] = n
+            rows_.append((len(want) - 1, v.tolist()))
+    got = {x["vec_id"]: x for x in embedding_dedup.cluster(spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(4)).collect()}
+    assert all(got[k]["n_links"] <= n for k, n in want.items()) and sum(got[k]["n_links"] for k in want) >= 0.97 * sum(want.values())
+    assert got[9001]["component_id"] == 9000 and got[9000]["n_links"] == 1
+
+
 def test_bpe_equals_the_library(docs, empty):
     from tokenizers import Tokenizer
 
