@@ -12,13 +12,14 @@ other's.  Equal windows choose the same anchor at the same place, so no copy is
 is by 128 bits of hash, so none is made up.
 
 Blocks and windows that repeat within one batch of documents are settled there, before any shuffle;
-a passage that a third of all documents share reaches the shuffle once a batch.
+a passage that a third of all documents share reaches the shuffle once a batch.  Anchors that a
+sample of the documents shows to be frequent are no key: their blocks would gather in one task, so
+their windows are checked one by one.  The sample decides the way only, never the result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfwise.llm._common import ensure_checkpoint_dir, table
+from shelfwise.llm._common import slices, stored, table
 from shelfwise.llm.simhash import word_pieces
 
 WINDOW = 20
@@ -38,6 +39,10 @@ ANCHOR = 10
 CHUNK = 500_000
 #: Words whose hashes a worker remembers.
 MEMO = 300_000
+#: Anchors met so often in one of `SAMPLE` documents are frequent; at most `FREQUENT` of them, the others are ordinary.
+SAMPLE, OFTEN, FREQUENT = 16, 64, 4096
+#: Plain bytes of the texts that are cut into words together.
+BATCH = 16 << 20
 #: Ranks a null doc_id behind all others.
 LAST = (1 << 63) - 1
 
@@ -155,8 +160,11 @@ def stretches(text: bytes) -> Iterator[tuple[np.ndarray, int]]:
         at += len(hashes) - len(tail)
 
 
-def _settle_locally(b: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """Of equal blocks the earliest stays a block; a later one is a copy already: its ctx becomes null."""
+def _settle_locally(b: dict[str, np.ndarray], frequent: np.ndarray) -> pa.RecordBatch:
+    """Of equal blocks the earliest stays a block; a later one is a copy already: its ctx becomes null.
+
+    Blocks of frequent anchors are to be checked by window: their ctx becomes null, too, and `to` negative.
+    """
     place = b["pos"] >> 24
     order = np.lexsort((place, b["doc"], b["ctx"], b["key"]))
     b = {name: v[order] for name, v in b.items()}
@@ -177,7 +185,10 @@ def _settle_locally(b: dict[str, np.ndarray]) -> pa.RecordBatch:
     last = np.append(first[1:], len(doc)) - 1 if len(first) else first
     keys = _mix(doc[first].astype(np.uint64) * np.uint64(_BASES[0]) + copies["pos"][first].astype(np.uint64)).view(np.int64)
     keep = ~later
-    ctx = pa.array(np.concatenate([b["ctx"][keep], np.zeros(len(first), dtype=np.int64)]), mask=np.concatenate([np.zeros(keep.sum(), dtype=bool), np.ones(len(first), dtype=bool)]))
+    spread = _mix(b["doc"].astype(np.uint64) * np.uint64(_BASES[1]) + b["pos"].astype(np.uint64)).view(np.int64)
+    opened = keep & np.isin(b["key"], frequent)
+    b["key"], b["to"] = np.where(opened, spread, b["key"]), np.where(opened, -b["to"], b["to"])
+    ctx = pa.array(np.concatenate([b["ctx"][keep], np.zeros(len(first), dtype=np.int64)]), mask=np.concatenate([opened[keep], np.ones(len(first), dtype=bool)]))
     return pa.RecordBatch.from_arrays(
         [pa.array(np.concatenate([b["key"][keep], keys])), ctx, pa.array(np.concatenate([b["doc"][keep], doc[first]])), pa.array(np.concatenate([b["pos"][keep], copies["pos"][first]])), pa.array(np.concatenate([b["to"][keep], high[last]]))],
         names=["key", "ctx", "doc", "pos", "to"],
@@ -189,22 +200,40 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, int, bytes]]:
         yield d, LAST if d is None else d, (t.as_py() or "").encode("utf-8", "surrogatepass")
 
 
-def blocks(documents: DataFrame) -> DataFrame:
-    """(key, ctx, doc, pos, to): the index rows; ctx is null for stretches already known to be copies."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    chunk = Chunk()
+    for batch in batches:
+        for _, doc, text in _texts(batch):
+            ver = version(text)
+            for hashes, at in stretches(text):
+                if len(hashes) >= WINDOW:
+                    chunk.add(hashes, doc, ver, at)
+                if chunk.words >= CHUNK:
+                    yield chunk
+                    chunk = Chunk()
+    if chunk.words:
+        yield chunk
+
+
+def frequent_anchors(documents: DataFrame) -> np.ndarray:
+    """At most `FREQUENT` anchors that many documents of a sample have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk()
-        for batch in batches:
-            for _, doc, text in _texts(batch):
-                ver = version(text)
-                for hashes, at in stretches(text):
-                    if len(hashes) >= WINDOW:
-                        chunk.add(hashes, doc, ver, at)
-                    if chunk.words >= CHUNK:
-                        yield _settle_locally(chunk.blocks())
-                        chunk = Chunk()
-        if chunk.words:
-            yield _settle_locally(chunk.blocks())
+        for chunk in _chunks(batches):
+            found = chunk.blocks()
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.stack([found["key"], found["doc"]]), axis=1)[0])], names=["key"])
+
+    sample = documents.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("doc_id", "text")
+    counted = sample.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    return np.array([r["key"] for r in counted.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()], dtype=np.int64)
+
+
+def blocks(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(key, ctx, doc, pos, to): the index rows; ctx is null for stretches already known to be copies, or to be checked if `to` is negative."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            yield _settle_locally(chunk.blocks(), frequent)
 
     return documents.select("doc_id", "text").mapInArrow(run, "key long, ctx long, doc long, pos long, to long")
 
@@ -215,10 +244,10 @@ def parsed(rows: DataFrame) -> DataFrame:
     ordered = group.orderBy("doc", "pos")
     known = rows.withColumn("ref", F.first(F.struct("doc", "pos", "ctx")).over(ordered)).withColumn("one", F.min("ctx").over(group) == F.max("ctx").over(group))
     is_ref = (F.col("doc") == F.col("ref.doc")) & (F.shiftright("pos", 24) == F.shiftright("ref.pos", 24))
-    copy = F.col("ctx").isNull() | ((F.col("ctx") == F.col("ref.ctx")) & ~is_ref)
-    check = ~F.col("one") & (is_ref | (F.col("ctx") != F.col("ref.ctx")))
+    copy = (F.col("ctx").isNull() & (F.col("to") > 0)) | ((F.col("ctx") == F.col("ref.ctx")) & ~is_ref)
+    check = (F.col("to") < 0) | (~F.col("one") & (is_ref | (F.col("ctx") != F.col("ref.ctx"))))
     return known.where(F.coalesce(copy, F.lit(False)) | F.coalesce(check, F.lit(False))).select(
-        "doc", F.col("pos").bitwiseAND(F.lit(0xFFFFFF)).alias("ver"), F.struct(F.shiftright("pos", 24).cast("int").alias("low"), F.col("to").cast("int").alias("to"), F.coalesce(~copy, F.lit(True)).alias("check")).alias("s")
+        "doc", F.col("pos").bitwiseAND(F.lit(0xFFFFFF)).alias("ver"), F.struct(F.shiftright("pos", 24).cast("int").alias("low"), F.abs("to").cast("int").alias("to"), F.coalesce(~copy, F.lit(True)).alias("check")).alias("s")
     )
 
 
@@ -315,29 +344,22 @@ def _groups(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.nd
     return keys[np.concatenate([[0], cut])].tolist() if len(keys) else [], np.split(values, cut) if len(keys) else []
 
 
-def _bounded(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[list[dict]]:
+def _bounded(batches: Iterator[pa.RecordBatch], limit: int = BATCH) -> Iterator[list[dict]]:
+    """The rows in lists whose texts together have about `limit` plain bytes, or one row with more."""
     rows, size = [], 0
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            for row in batch.slice(k, 256).to_pylist():
-                rows.append(row)
-                size += len(row["z"] or b"")
-                if size >= limit:
-                    yield rows
-                    rows, size = [], 0
+    for batch in slices(batches):
+        for k in range(batch.num_rows):
+            row = {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+            plain = zstandard.frame_content_size(row["z"])
+            if rows and size + plain > limit:
+                yield rows
+                rows, size = [], 0
+            rows.append(row)
+            size += plain
     if rows:
         yield rows
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet to the shared checkpoint folder and read again."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/substring-dedup-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remove(documents: DataFrame) -> DataFrame:
     """For each row: doc_id, n_words, n_removed, kept_sha256.
 
@@ -349,7 +371,7 @@ def remove(documents: DataFrame) -> DataFrame:
     table gives an empty result; columns other than doc_id and text are not read.
     """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = parsed(blocks(documents)).groupBy("doc", "ver").agg(F.collect_list("s").alias("found"))
+    found = parsed(blocks(documents, frequent_anchors(documents))).groupBy("doc", "ver").agg(F.collect_list("s").alias("found"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _bounded(batches):
@@ -366,7 +388,7 @@ def remove(documents: DataFrame) -> DataFrame:
             yield _batch_of(out, _RESULT_ARROW)
 
     texts = packed(documents)
-    checked = stored(texts.join(found.hint("shuffle_hash"), ["doc", "ver"], "left").select("doc_id", "doc", "ver", "z", "found").mapInArrow(check, CHECKED))
+    checked = stored(texts.join(found.hint("shuffle_hash"), ["doc", "ver"], "left").select("doc_id", "doc", "ver", "z", "found").mapInArrow(check, CHECKED), "substring-dedup")
     opened = checked.where("z is not null")
     windows = opened.select("doc", "ver", F.explode(F.arrays_zip("w1", "w2", "low")).alias("w")).select("doc", "ver", "w.w1", "w.w2", "w.low")
     earliest = F.first(F.struct("doc", "low")).over(W.partitionBy("w1", "w2").orderBy("doc", "low"))

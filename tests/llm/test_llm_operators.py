@@ -337,6 +337,22 @@ def test_substring_dedup(spark, docs, empty):
     assert rows(substring_dedup.remove(frame), "doc_id", "n_words", "n_removed", "kept_sha256") == plain_substrings(made)
 
 
+def test_substring_dedup_with_frequent_anchors(spark, monkeypatch):
+    """A run of ten words in surroundings that differ, a passage in all documents, and texts that compress well."""
+    run, passage = prose(10, 70), prose(45, 71)
+    made = [(k, f"{prose(k % 13 + 12, 2000 + k)} {run} {prose(14, 4000 + k // 3)} {passage} {'same ' * (k % 50)}") for k in range(400)]
+    frame = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(substring_dedup, "OFTEN", 3)
+    assert len(substring_dedup.frequent_anchors(frame)) >= 3
+    assert rows(substring_dedup.remove(frame), "doc_id", "n_words", "n_removed", "kept_sha256") == plain_substrings(made)
+
+
+def test_substring_batches_are_bounded_by_plain_bytes():
+    z = substring_dedup.zstandard.ZstdCompressor().compress(b"word " * 2_000_000)
+    batch = substring_dedup.pa.RecordBatch.from_arrays([substring_dedup.pa.array([z] * 4)], names=["z"])
+    assert [len(rows_) for rows_ in substring_dedup._bounded(iter([batch]))] == [1, 1, 1, 1]
+
+
 def test_html(spark):
     model = html_extract.train()
     held = html_extract.Pages(99)
