@@ -22,7 +22,6 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -35,8 +34,8 @@ from shelfwise.llm._common import slices, table
 MEMO_WORDS, MEMO_PRETOKENS, MEMO_PAIRS = 60_000, 150_000, 250_000
 #: Longer pretokens are streamed and not remembered.
 MEMO_CHARS = 64
-#: Words of a text that are encoded at a time.
-RUN = 20_000
+#: Characters of a text that are cut into words, and encoded, at a time.
+PIECE = 1 << 17
 #: Unicode's White_Space; Python's own str.split() also cuts at U+001C to U+001F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _NEVER = 1 << 60
@@ -313,9 +312,12 @@ class Codec:
             if k % 2:
                 yield array("I", [self.m.added[part]]).tobytes()
                 continue
-            words = iter(part.split() if not regex.search("[\x1c-\x1f]", part) else [w for w in self.spaces.split(part) if w])
-            while run := list(islice(words, RUN)):
-                yield b"".join(map(ids_of, run))
+            start, odd = 0, regex.search("[\x1c-\x1f]", part)
+            while start < len(part):
+                found = self.spaces.search(part, start + PIECE) if start + PIECE < len(part) else None
+                end = found.start() if found else len(part)
+                yield b"".join(map(ids_of, part[start:end].split() if not odd else [w for w in self.spaces.split(part[start:end]) if w]))
+                start = end
 
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens' own spelling joined by a space, as a tokenizer without a decoder has it."""

@@ -292,7 +292,7 @@ def test_bpe_equals_the_library(docs, empty):
     library, coder = Tokenizer.from_file(path), bpe.codec(path)
     r = random.Random(2)
     signs = "aabbcdeéèßñ  \t\n 　'sStTrelmd!?.,0123456789ÀÉ中文Σσİ̈́\x1c\x85😀<|endoftext|>"
-    odd = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(1500)] + ["x<|endoftext|>y", "ab" * 4000, "theinthean" * 900, ""]
+    odd = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(1500)] + ["x<|endoftext|>y", "word \u3000é " * 40_000, "one\x1ctwo " * 30_000, "ab" * 4000, "theinthean" * 900, ""]
     for t in [*odd, *(t or "" for _, t in TEXTS)]:
         ids = [i for piece in coder.encode(t) for i in memoryview(piece).cast("I")]
         want = library.encode(t, add_special_tokens=False).ids
@@ -304,6 +304,13 @@ def test_bpe_equals_the_library(docs, empty):
         ids = library.encode(t or "", add_special_tokens=False).ids
         want.add((d, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()))
     assert got == want and bpe.digests(empty, path).count() == 0
+    of_symbol = {c: b for b, c in enumerate(bpe.byte_symbols())}
+    for t in odd[::7]:  # the byte-to-text machine, piece by piece, against all bytes at once
+        spelled, ids = [], [i for i in library.encode(t, add_special_tokens=False).ids if i not in coder.m.added.values()]
+        for i in ids:
+            token = library.id_to_token(i)
+            spelled += [*(of_symbol[c] for c in token.removesuffix("</w>")), *([32] if token.endswith("</w>") else [])]
+        assert "".join(coder.decode_text(iter(ids))) == bytes(spelled).decode(errors="replace")
     turned = bpe.decode(bpe.encode(docs.where("doc_id = 7"), path), path, text="back").first()
     assert turned["back"].strip() == "two words"
 
