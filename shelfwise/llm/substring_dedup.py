@@ -1,7 +1,7 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
-The reference is the corpus itself, cut into blocks that every document chooses alike: of the 11
-runs of ten words in a window of twenty, the one with the least hash anchors the window, and an
+The reference is the corpus itself, cut into blocks that every document chooses alike: of the 13
+runs of eight words in a window of twenty, the one with the least hash anchors the window, and an
 anchor with the words of all windows that it anchors is a block.  The index of blocks is the table
 of anchors; the earliest block of an anchor is its reference.
 
@@ -34,13 +34,13 @@ from shelfwise.llm._common import slices, stored, table
 from shelfwise.llm.simhash import word_pieces
 
 WINDOW = 20
-ANCHOR = 10
+ANCHOR = 8
 #: Words that are hashed at a time.
 CHUNK = 500_000
 #: Words whose hashes a worker remembers.
-MEMO = 300_000
+MEMO = 100_000
 #: Anchors met so often in one of `SAMPLE` documents are frequent; at most `FREQUENT` of them, the others are ordinary.
-SAMPLE, OFTEN, FREQUENT = 16, 64, 4096
+SAMPLE, OFTEN, FREQUENT = 64, 16, 4096
 #: Plain bytes of the texts that are cut into words together.
 BATCH = 16 << 20
 #: Ranks a null doc_id behind all others.
@@ -296,22 +296,27 @@ def _windows(hashes: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(Rolling(hashes, base).of(low, low + WINDOW).view(np.int64) for base in _BASES)
 
 
+def _words_of(row: dict) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(row["z"]).split()
+
+
 def _check_batch(rows: list[dict]) -> pa.RecordBatch:
     """Finishes the documents without open windows; for the others, names the windows to check.
 
     Of equal windows of the batch only the earliest is passed on; the later ones are copies.
     """
-    opened, spans, docs = [], [], []
+    opened, spans, done = [], [], {}
     for k, row in enumerate(rows):
-        words = zstandard.ZstdDecompressor().decompress(row["z"]).split()
         found = row["found"] or []
         spans.append([(s["low"], s["to"]) for s in found if not s["check"]])
         starts = [np.arange(s["low"], s["to"] - WINDOW + 1) for s in found if s["check"]]
+        words = _words_of(row)
         if starts:
             low = np.unique(np.concatenate(starts))
             a, b = _windows(word_hashes(words), low)
             opened.append((np.full(len(low), k), np.full(len(low), row["doc"], dtype=np.int64), low, a, b))
-        docs.append(words)
+        else:
+            done[k] = _finished(words, _merged(len(words), spans[k]))
     left: dict[int, tuple] = {}
     if opened:
         which, doc, low, a, b = (np.concatenate(c) for c in zip(*opened, strict=True))
@@ -329,13 +334,17 @@ def _check_batch(rows: list[dict]) -> pa.RecordBatch:
             left[k] = (a[part], b[part], low[part])
     out = []
     for k, row in enumerate(rows):
-        gone = _merged(len(docs[k]), spans[k])
         ids = (row["doc_id"], row["doc"], row["ver"])
+        if k in done:
+            out.append((*ids, *done[k], None, None, None, None, None))
+            continue
+        words = _words_of(row)  # split again rather than held for the whole batch
+        gone = _merged(len(words), spans[k])
         if k in left:
             edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
             out.append((*ids, None, None, None, row["z"], edges.astype(np.int32), *left[k][:2], left[k][2].astype(np.int32)))
         else:
-            out.append((*ids, *_finished(docs[k], gone), None, None, None, None, None))
+            out.append((*ids, *_finished(words, gone), None, None, None, None, None))
     return _batch_of(out, _CHECKED_ARROW)
 
 
@@ -381,7 +390,7 @@ def remove(documents: DataFrame) -> DataFrame:
         for rows in _bounded(batches):
             out = []
             for row in rows:
-                words = zstandard.ZstdDecompressor().decompress(row["z"]).split()
+                words = _words_of(row)
                 edges = row["spans"]
                 gone = _merged(len(words), [*zip(edges[::2], edges[1::2], strict=True), *((at, at + WINDOW) for at in row["copies"] or [])])
                 out.append((row["doc_id"], *_finished(words, gone)))
