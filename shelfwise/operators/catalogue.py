@@ -6,12 +6,16 @@ by overwriting the store's partition.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.config import RuleSet
 from shelfwise.functions.rates import parse_rate
+from shelfwise.operators.components import components
+from shelfwise.session import settled
 
 #: Fields that a person may override; the rate is not among them.
 OVERRIDABLE = ("label", "ean", "internal_code", "url_image", "taxonomie_niveau_1", "taxonomie_niveau_2", "taxonomie_niveau_3", "taxonomie_niveau_4", "quantity_value", "quantity_unit", "origin")
@@ -64,30 +68,54 @@ def undo_override(overrides: DataFrame, products: DataFrame, store: str, key: st
 
 
 def merge_products(products: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(products, journal): each (store_id, left_id, right_id) of `merges` joins two products.
+    """(products, journal): the (store_id, left_id, right_id) of `merges` that hang together make one product.
 
-    Refused where quantities or brands differ.  The survivor has more rows, then the larger id; the
-    journal keeps the absorbed product as it was.
+    Refused where quantities or known brands differ, for a pair or anywhere in the group that pairs
+    make.  The survivor has more rows, then the larger id; where rates differ it is to be reviewed
+    and is not publishable.  The journal keeps each absorbed product as it was.
     """
-    side = lambda p: products.select(F.col("store_id"), F.col("id").alias(f"{p}_id"), F.struct(*products.columns).alias(p))
-    pairs = merges.join(side("left"), ["store_id", "left_id"]).join(side("right"), ["store_id", "right_id"])
-    known = lambda c: (F.coalesce(F.col(f"left.{c}").cast("string"), F.lit("")) != "") & (F.coalesce(F.col(f"right.{c}").cast("string"), F.lit("")) != "")
-    clash = F.lit(False)
-    for c in ("quantity", "brand"):
-        if c in products.columns:
-            clash = clash | (known(c) & (F.col(f"left.{c}") != F.col(f"right.{c}")))
-    rank = lambda p: F.struct(F.col(f"{p}.source_rows"), F.col(f"{p}.id"))
-    wins = rank("left") > rank("right")
-    journal = pairs.withColumn("refused", F.coalesce(clash, F.lit(False))).select(
-        "store_id", "refused", F.when(wins, F.col("left.id")).otherwise(F.col("right.id")).alias("survivor_id"), F.when(wins, F.col("right")).otherwise(F.col("left")).alias("absorbed")
+    node = lambda i: F.to_json(F.struct("store_id", F.col(i).alias("id")))
+    told = {c: F.upper(F.trim(F.col(c).cast("string"))) for c in ("quantity", "quantity_value", "quantity_unit", "brand") if c in products.columns}
+    ends = products.select("store_id", "id", F.struct(*products.columns).alias("p"), F.array(*[F.when(v != "", v) for v in told.values()]).alias("told"))
+    side = lambda p: ends.select("store_id", F.col("id").alias(f"{p}_id"), F.col("p").alias(p), F.col("told").alias(f"{p}_told"))
+    clash = F.exists(F.zip_with("left_told", "right_told", lambda x, y: F.coalesce(x != y, F.lit(False))), lambda x: x)
+    pairs = settled(merges.join(side("left"), ["store_id", "left_id"]).join(side("right"), ["store_id", "right_id"]).withColumn("clash", clash))
+    linked = components(pairs.where("not clash").select(node("left_id").alias("u"), node("right_id").alias("v")))
+    members = settled(linked.join(ends.withColumn("node", node("id")), "node"))
+    rank = F.struct(F.col("p.source_rows"), F.col("p.id"))
+    several = [F.count_distinct(F.col("told")[k]) > 1 for k in range(len(told))]
+    groups = members.groupBy("root").agg(
+        F.max_by("id", rank).alias("survivor_id"), F.sum("p.source_rows").alias("_rows"), (F.count_distinct("p.vat_rate") > 1).alias("_differ"), *[c.alias(f"_k{k}") for k, c in enumerate(several)]
+    ).withColumn("refused", reduce(lambda x, y: x | y, [F.col(f"_k{k}") for k in range(len(told))], F.lit(False)))
+    placed = members.join(groups, "root")
+    wins = F.struct("left.source_rows", "left.id") > F.struct("right.source_rows", "right.id")
+    journal = (
+        placed.where(F.col("id") != F.col("survivor_id"))
+        .select("store_id", "refused", "survivor_id", F.col("p").alias("absorbed"))
+        .unionByName(pairs.where("clash").select("store_id", F.lit(True).alias("refused"), F.when(wins, F.col("left.id")).otherwise(F.col("right.id")).alias("survivor_id"), F.when(wins, F.col("right")).otherwise(F.col("left")).alias("absorbed")))
     )
-    done = journal.where("not refused")
-    gained = done.groupBy("store_id", F.col("survivor_id").alias("id")).agg(F.sum("absorbed.source_rows").alias("_gained"), F.collect_set("absorbed.vat_rate").alias("_rates"))
-    gone = done.select("store_id", F.col("absorbed.id").alias("id"))
+    journal = settled(journal)
+    gone = journal.where("not refused").select("store_id", F.col("absorbed.id").alias("id"))
+    gained = placed.where((F.col("id") == F.col("survivor_id")) & ~F.col("refused")).select("store_id", "id", "_rows", "_differ")
     kept = products.join(gone, ["store_id", "id"], "left_anti").join(gained, ["store_id", "id"], "left")
-    differ = F.coalesce(F.size(F.array_except("_rates", F.array("vat_rate"))) > 0, F.lit(False))
-    out = kept.withColumns({"source_rows": F.col("source_rows") + F.coalesce("_gained", F.lit(0)), "status": F.when(differ, "NEEDS_REVIEW").otherwise(F.col("status"))}).select(*products.columns)
-    return out, journal
+    differ = F.coalesce("_differ", F.lit(False))
+    changes = {"source_rows": F.coalesce("_rows", "source_rows"), "status": F.when(differ, "NEEDS_REVIEW").otherwise(F.col("status"))}
+    if "publishable" in products.columns:
+        changes["publishable"] = F.col("publishable") & ~differ
+    return kept.withColumns(changes).select(*products.columns), journal
+
+
+def move_lineage(lineage: DataFrame, journal: DataFrame) -> DataFrame:
+    """`lineage` with (store_id, product_id): the rows of absorbed products point at the survivor, `moved_from` says from where."""
+    to = journal.where("not refused").select("store_id", F.col("absorbed.id").alias("product_id"), "survivor_id")
+    moved = lineage.join(to, ["store_id", "product_id"], "left")
+    return moved.withColumns({"moved_from": F.when(F.col("survivor_id").isNotNull(), F.col("product_id")), "product_id": F.coalesce("survivor_id", "product_id")}).drop("survivor_id")
+
+
+def learned_merges(products: DataFrame, journal: DataFrame) -> DataFrame:
+    """(store_id, label, into): what later runs merge by themselves, one rule for each absorbed label."""
+    heads = products.select("store_id", F.col("id").alias("survivor_id"), F.col("label_normalized").alias("into"))
+    return journal.where("not refused").join(heads, ["store_id", "survivor_id"]).groupBy("store_id", F.col("absorbed.label_normalized").alias("label")).agg(F.max_by("into", F.col("absorbed.id")).alias("into"))
 
 
 def undo_merge(products: DataFrame, journal: DataFrame) -> DataFrame:
@@ -98,19 +126,30 @@ def undo_merge(products: DataFrame, journal: DataFrame) -> DataFrame:
     return left.unionByName(done.select("absorbed.*").select(*products.columns))
 
 
+def judged_decisions(decisions: DataFrame, rules: RuleSet) -> DataFrame:
+    """`decisions` with the rate that each value says and whether it is refused: unreadable, or not a legal rate."""
+    rate = parse_rate(F.col("value"))
+    return decisions.withColumns({"rate": rate, "refused": ~F.coalesce(rate.isin(*rules.legal_rates), F.lit(False))})
+
+
 def decide(products: DataFrame, decisions: DataFrame, rules: RuleSet) -> DataFrame:
-    """Applies approved or edited rates (store_id, product_key, value); an illegal or unreadable value changes nothing.
+    """Applies approved or edited rates (store_id, product_key, value); a refused one, as `judged_decisions` tells, changes nothing.
 
     `publishable` is judged again by code, image and deepest level, as a decision does it.
     """
-    rate = parse_rate(F.col("value"))
-    legal = decisions.withColumn("_rate", F.when(rate.isin(*rules.legal_rates), rate)).where("_rate is not null").groupBy("store_id", "product_key").agg(F.max("_rate").alias("_rate"))
+    legal = judged_decisions(decisions, rules).where("not refused").groupBy("store_id", "product_key").agg(F.max("rate").alias("_rate"))
     joined = products.join(legal, ["store_id", "product_key"], "left")
     hit = F.col("_rate").isNotNull()
     fine = F.coalesce((F.coalesce("ean", F.lit("")) != "") & F.col("url_ok") & (F.element_at("taxonomy", 4) != ""), F.lit(False))
     return joined.withColumns({"vat_rate": F.coalesce("_rate", "vat_rate"), "status": F.when(hit, "VALIDATED").otherwise(F.col("status")), "publishable": F.when(hit, fine).otherwise(F.col("publishable"))}).drop("_rate")
 
 
+def human_corrections(products: DataFrame, decisions: DataFrame, rules: RuleSet, user: str) -> DataFrame:
+    """The audit rows of applied decisions: who changed which rate from what to what."""
+    now = judged_decisions(decisions, rules).where("not refused").join(products.select("store_id", "product_key", "vat_rate"), ["store_id", "product_key"])
+    return now.select("store_id", "product_key", F.lit("tva").alias("field_name"), F.coalesce(F.col("vat_rate").cast("string"), F.lit("")).alias("old_value"), F.col("rate").cast("string").alias("new_value"), F.lit("HUMAN").alias("author"), F.lit("human_decision").alias("rule"), F.lit(1.0).alias("confidence"), F.lit(user).alias("user_id"))
+
+
 def per_run_replace(stored: DataFrame, fresh: DataFrame, run_id: str, cap: int | None = None, order: str = "row_seq") -> DataFrame:
     """The table with the run's rows replaced; `cap` bounds what a run may store, in row order."""
     mine = fresh if cap is None else fresh.orderBy(order).limit(cap)
@@ -134,7 +173,7 @@ def bump_hits(cache: DataFrame, used: DataFrame, key: str = "cache_key") -> Data
 
 
 def lookup_previous_run(runs: DataFrame, store: str, sha256: str) -> DataFrame:
-    """An earlier deposit of the same file that still counts."""
+    """An earlier deposit of the same file that still counts; the statuses are fixed values."""
     return runs.where((F.col("store_id") == store) & (F.col("file_sha256") == sha256) & F.col("status").isin("COMPLETED", "RUNNING", "QUARANTINE"))
 
 

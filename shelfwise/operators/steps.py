@@ -94,7 +94,9 @@ def field_checks(df: DataFrame, rules: RuleSet, statuses: DataFrame | None = Non
     if statuses is None:
         df = df.withColumns({"_ok": F.lit(None).cast("boolean"), "_reason": F.lit(None).cast("string")})
     else:
-        known = statuses.dropDuplicates(["url"]).select(F.col("url").alias("_known"), F.col("ok").alias("_ok"), F.col("reason").alias("_reason"))
+        # of several statuses of one address a good one counts, then the last reason in order
+        best = statuses.groupBy("url").agg(F.max(F.struct("ok", "reason")).alias("b"))
+        known = best.select(F.col("url").alias("_known"), F.col("b.ok").alias("_ok"), F.col("b.reason").alias("_reason"))
         df = df.join(known, F.col("url_image") == F.col("_known"), "left").drop("_known")
     df = df.withColumn("_seen", url.judged(F.col("url_image"), F.col("_ok"), F.col("_reason")))
     df = df.withColumns({"url_ok": F.col("_seen.url_ok"), "url_checked": F.col("_seen.url_checked"), "vat_rate": rates.parse_rate(F.col("tva"))})
@@ -140,20 +142,21 @@ def enrich(df: DataFrame, rules: RuleSet, answers: DataFrame | None = None, mode
     """Applies answers (source, label, brand, confidence) by exact label, else by collapsed upper case.
 
     Adds nom_enrichi, brand and llm_confidence; nom stays.  An answer below the confidence
-    threshold is kept but not applied.
+    threshold is not applied, nor is an empty one; brand and confidence are recorded all the same.
+    Of several answers to one label the surest counts, then the first in order.
     """
     df = _started(df)
     if answers is None:
         return df.withColumns({"nom_enrichi": F.col("nom"), "brand": F.lit(""), "llm_confidence": F.lit(0.0)})
-    exact = answers.dropDuplicates(["source"]).select(F.col("source").alias("_source"), F.struct("label", "brand", "confidence").alias("_exact"))
-    loose = answers.withColumn("_squashed", text.squash(F.col("source"))).groupBy("_squashed").agg(F.min_by(F.struct("label", "brand", "confidence"), "source").alias("_loose"))
+    said = answers.select("source", F.struct((-F.col("confidence")).alias("doubt"), F.trim(F.coalesce("label", F.lit(""))).alias("label"), F.trim(F.coalesce("brand", F.lit(""))).alias("brand"), "confidence").alias("said"))
+    exact = said.groupBy(F.col("source").alias("_source")).agg(F.min("said").alias("_exact"))
+    loose = exact.groupBy(text.squash(F.col("_source")).alias("_squashed")).agg(F.min_by("_exact", "_source").alias("_loose"))
     joined = df.join(exact, F.col("nom") == F.col("_source"), "left").join(loose, text.squash(F.col("nom")) == F.col("_squashed"), "left").withColumn("_answer", F.coalesce("_exact", "_loose"))
-    sure = F.coalesce(F.col("_answer.confidence") >= rules.thresholds.min_label_confidence, F.lit(False))
-    change = sure & (F.col("_answer.label") != F.col("nom"))
+    change = F.coalesce((F.col("_answer.confidence") >= rules.thresholds.min_label_confidence) & (F.col("_answer.label") != "") & (F.col("_answer.label") != F.col("nom")), F.lit(False))
     return joined.withColumns(
         {
-            "nom_enrichi": F.when(sure, F.col("_answer.label")).otherwise(F.col("nom")),
-            "brand": F.coalesce(F.when(sure, F.col("_answer.brand")), F.lit("")),
+            "nom_enrichi": F.when(change, F.col("_answer.label")).otherwise(F.col("nom")),
+            "brand": F.coalesce("_answer.brand", F.lit("")),
             "llm_confidence": F.coalesce(F.col("_answer.confidence"), F.lit(0.0)),
             "corrections": F.concat("corrections", correction(change, "nom", F.col("nom"), F.col("_answer.label"), f"llm_enrich.label[{model}]", "LLM", F.col("_answer.confidence"))),
         }

@@ -45,7 +45,7 @@ def run_pipeline(listing: DataFrame, rules: RuleSet | None = None, run_id: str =
         records=final,
         corrections=steps.corrections_of(rows, run_id),
         anomalies=steps.anomalies_of(rows, run_id),
-        lineage=golden.lineage(rows),
+        lineage=golden.lineage(rows, resolution.key_map(records, linked.groups)),
         unresolved=linked.unresolved,
         funnel=linked.funnel,
         report=routing.report(rows, final, rules, network),

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXPORT = ("product_key", "label", "label_normalized", "ean", "internal_code", "url_image", "taxonomie_niveau_1", "taxonomie_niveau_2", "taxonomie_niveau_3", "taxonomie_niveau_4", "tva", "publishable", "status", "confidence", "source_rows")
+#: The columns of the exported file.
+EXPORT = ("ean", "internal_code", "nom", "nom_origine", "url_image", "taxonomie_niveau_1", "taxonomie_niveau_2", "taxonomie_niveau_3", "taxonomie_niveau_4", "tva", "contenance", "unite", "statut", "publiable", "lignes_fusionnees")
 
 
 def export_frame(products: DataFrame) -> DataFrame:
-    """The fifteen export columns as text, largest products first."""
+    """The export columns as text, largest products first: the label to sell, then the till's own."""
     levels = {f"taxonomie_niveau_{k + 1}": F.element_at("taxonomy", k + 1) for k in range(4)}
     label = F.when(F.coalesce("label_enriched", F.lit("")) != "", F.col("label_enriched")).otherwise(F.col("label"))
-    made = products.withColumns(levels | {"product_key": F.col("key"), "label": label, "tva": F.col("vat_rate").cast("string"), "publishable": F.when(F.col("publishable"), "oui").otherwise("non")})
-    return made.orderBy(F.desc("source_rows"), "product_key").select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in EXPORT])
+    named = {
+        "nom": label, "nom_origine": F.col("label"), "tva": F.col("vat_rate"), "contenance": F.col("quantity_value"), "unite": F.col("quantity_unit"), "statut": F.col("status"),
+        "publiable": F.when(F.col("publishable"), "oui").otherwise("non"), "lignes_fusionnees": F.col("source_rows"),
+    }
+    made = products.withColumns(levels | named)
+    return made.orderBy(F.desc("source_rows"), "key").select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in EXPORT])
 
 
 def export_csv(products: DataFrame, path: str) -> None:

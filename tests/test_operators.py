@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.config import LEVELS, RuleSet, Thresholds
-from shelfwise.operators import catalogue, enrichment, golden, resolution, routing, steps
+from shelfwise.operators import catalogue, enrichment, golden, reads, resolution, routing, steps
 from shelfwise.operators.components import components
 from shelfwise.plans import pipeline
 from shelfwise.session import settled
@@ -258,7 +258,7 @@ def test_export(spark, rules, tmp_path):
     rec = routing.route(golden.golden_records(checked(spark, {}), rules), rules)
     sinks.export_csv(rec, str(tmp_path / "out"))
     data = next((tmp_path / "out").glob("part-*")).read_bytes()
-    assert data.startswith("﻿product_key,label".encode()) and b"oui" in data and b"\r" not in data
+    assert data.startswith("﻿ean,internal_code,nom,nom_origine,url_image,".encode()) and b",contenance,unite,statut,publiable,lignes_fusionnees\n" in data and b"oui" in data and b"\r" not in data
     assert '"status"' in sinks.report_json(rec)
 
 
@@ -272,3 +272,116 @@ def test_inbox_reads_a_deposit_once(spark, tmp_path):
         q = inbox.process(spark, str(tmp_path / "in"), str(tmp_path / "state"), lambda b, _: seen.extend((r["store_id"], r["id_produit"]) for r in b.collect()))
         q.awaitTermination()
     assert sorted(seen) == [("shop", "1"), ("shop", "2"), ("shop2", "3")]
+
+
+def test_rate_ties_go_to_the_rate_seen_first(spark, rules):
+    df = checked(spark, {"tva": "5.5"}, {"tva": "20"}, {"nom": "NUTELLA 1K", "tva": "20"}, {"nom": "NUTELLA 1K", "tva": "5.5"}, {"nom": "NUTELLA 1K", "tva": "20"}, {"nom": "NUTELLA 1K", "tva": "5.5"})
+    records = golden.golden_records(df, rules)
+    asked = {r["product_key"]: r for r in routing.vat_tasks(records, golden.lineage(df)).collect()}
+    held = {r["key"]: r["vat_rate"] for r in records.collect()}
+    assert {k: float(r["proposed_value"]) for k, r in asked.items()} == held == {"COCA COLA 1L": 5.5, "NUTELLA 1K": 20.0}
+    assert asked["NUTELLA 1K"]["context"]["sample_row_ids"] == ["r2", "r3", "r4", "r5"] and asked["NUTELLA 1K"]["context"]["total_rows"] == 4
+    assert routing.vat_tasks(records).first()["context"]["sample_row_ids"] == []
+
+
+def test_rows_follow_their_record_through_linking(spark):
+    labels = ["TOMATE GRAPPE", "TOMATES GRAPPE", "TOMATES GRAPPE", "TOMATES GRAPPE", "POMMES GALA"]
+    out = pipeline.run_pipeline(rows(spark, *[{"nom": x} for x in labels]))
+    sizes = {r["key"]: r["source_rows"] for r in out.records.collect()}
+    assert sizes == {"TOMATE GRAPPE": 4, "POMMES GALA": 1}
+    refs = out.lineage.orderBy("key", "member_seq", "row_seq").collect()
+    assert [r["row_id"] for r in refs if r["key"] == "TOMATE GRAPPE"] == ["r0", "r1", "r2", "r3"]
+    assert {k: sum(r["key"] == k for r in refs) for k in sizes} == sizes
+
+
+def merged(spark, products, pairs):
+    kinds = "store_id string, id long, label_normalized string, source_rows long, brand string, vat_rate double, status string, publishable boolean"
+    made = spark.createDataFrame([("s", k, f"P{k}", n, brand, rate, "VALIDATED", True) for k, n, brand, rate in products], kinds)
+    out, journal = catalogue.merge_products(made, spark.createDataFrame([("s", a, b) for a, b in pairs], "store_id string, left_id long, right_id long"))
+    return made, out, journal
+
+
+def test_chained_merges_lose_no_rows(spark):
+    made, out, journal = merged(spark, [(1, 5, "", 5.5), (2, 9, "", 5.5), (3, 2, "", 20.0), (4, 1, "X", 5.5)], [(1, 2), (2, 3)])
+    got = {r["id"]: (r["source_rows"], r["status"], r["publishable"]) for r in out.collect()}
+    assert got == {2: (16, "NEEDS_REVIEW", False), 4: (1, "VALIDATED", True)}
+    assert sorted((r["survivor_id"], r["absorbed"]["id"]) for r in journal.collect()) == [(2, 1), (2, 3)]
+    lineage = spark.createDataFrame([("s", 1, "a"), ("s", 2, "b"), ("s", 3, "c"), ("s", 4, "d")], "store_id string, product_id long, row_id string")
+    moved = {r["row_id"]: (r["product_id"], r["moved_from"]) for r in catalogue.move_lineage(lineage, journal).collect()}
+    assert moved == {"a": (2, 1), "b": (2, None), "c": (2, 3), "d": (4, None)}
+    assert sorted((r["label"], r["into"]) for r in catalogue.learned_merges(made, journal).collect()) == [("P1", "P2"), ("P3", "P2")]
+    assert sorted((r["id"], r["source_rows"]) for r in catalogue.undo_merge(out, journal).collect()) == [(1, 5), (2, 9), (3, 2), (4, 1)]
+
+
+def test_merges_are_refused_across_brands(spark):
+    made, out, journal = merged(spark, [(1, 5, "a ", 5.5), (2, 9, "", 5.5), (3, 2, "B", 5.5), (4, 2, "A", 5.5), (5, 1, "", 5.5)], [(1, 2), (2, 3), (1, 4), (3, 4)])
+    assert out.count() == 5 and all(r["refused"] for r in journal.collect()) and {r["source_rows"] for r in out.collect()} == {5, 9, 2, 1}
+    made, out, journal = merged(spark, [(1, 5, "a ", 5.5), (4, 2, "A", 5.5), (3, 1, "B", 5.5)], [(1, 4), (4, 3)])
+    assert sorted((r["id"], r["source_rows"]) for r in out.collect()) == [(1, 7), (3, 1)]
+
+
+def test_decisions_that_are_refused_are_told(spark, rules):
+    said = spark.createDataFrame([("s", "a", v) for v in ("5,5", "33", "x", None)], "store_id string, product_key string, value string")
+    assert [r["refused"] for r in catalogue.judged_decisions(said, rules).collect()] == [False, True, True, True]
+    p = spark.createDataFrame([("s", "a", 33.0)], "store_id string, product_key string, vat_rate double")
+    assert [(r["old_value"], r["new_value"], r["author"], r["user_id"]) for r in catalogue.human_corrections(p, said, rules, "u").collect()] == [("33.0", "5.5", "HUMAN", "u")]
+
+
+def test_empty_proposals_keep_the_label_and_brands_are_recorded(spark, rules):
+    df = rows(spark, {"nom": "A"}, {"nom": "B"}, {"nom": "C"}, {"nom": "D"})
+    answers = spark.createDataFrame([("A", "  ", " ACME ", 0.95), ("B", "NEW", "ACME", 0.1), ("c", "NEW C", None, 0.9), ("C", "OLD C", "X", 0.85), ("C", "SURE C", "Y", 0.9)], "source string, label string, brand string, confidence double")
+    got = [(r["nom_enrichi"], r["brand"], r["llm_confidence"], len(r["corrections"])) for r in steps.enrich(df, rules, answers).orderBy("row_seq").collect()]
+    assert got == [("A", "ACME", 0.95, 0), ("B", "ACME", 0.1, 0), ("SURE C", "Y", 0.9, 1), ("D", "", 0.0, 0)]
+
+
+class Capitals:
+    """Answers every label, and remembers what it was asked."""
+
+    def __init__(self):
+        self.asked = []
+
+    def answer(self, labels):
+        self.asked.append(sorted(r["label"] for r in labels.collect()))
+        return labels.select(F.col("label").alias("source"), F.concat(F.lit("THE "), "label").alias("label"), F.lit("ACME").alias("brand"), F.lit(0.9).alias("confidence"))
+
+
+def test_enrichment_run_asks_each_label_once(spark, rules):
+    cache = spark.createDataFrame([], "cache_key string, model string, source string, label string, brand string, confidence double, hits long")
+    df, model, price = rows(spark, *[{"nom": f"L{k % 7}"} for k in range(21)], {"nom": " "}), Capitals(), enrichment.Price(5.0, 25.0)
+    ceiling = enrichment.Ceiling(max_calls=2)
+    first = enrichment.run(df, model, cache, rules, "m", price, ceiling, size=3)
+    assert model.asked == [[f"L{k}" for k in range(6)]] and ceiling.queued == 1
+    assert first.counters.first().asDict() == {"distinct_labels": 7, "labels_from_cache": 0, "labels_answered": 6, "calls": 2, "queued": 1}
+    again = enrichment.run(df, model, first.cache, rules, "m", price, enrichment.Ceiling(), size=3)
+    assert model.asked[1] == ["L6"] and again.counters.first()["labels_from_cache"] == 6
+    assert {(r["nom"], r["nom_enrichi"]) for r in again.rows.collect()} == {(f"L{k}", f"THE L{k}") for k in range(7)} | {(" ", " ")}
+    assert sorted((r["source"], r["hits"]) for r in again.cache.collect()) == [(f"L{k}", int(k < 6)) for k in range(7)]
+    other = enrichment.run(df, model, again.cache, rules, "n", price, enrichment.Ceiling(max_cost_usd=0.0), size=3)
+    assert model.asked[2] == [] and other.counters.first()["queued"] == 7
+
+
+def test_reads(spark):
+    p = spark.createDataFrame([("s", "50% OFF", True, 2, 1), ("s", "500 off", False, 3, 2), ("t", None, True, 1, 3)], "store_id string, label string, publishable boolean, source_rows long, updated_at long")
+    assert [r["label"] for r in reads.search(p, "0% o").collect()] == ["50% OFF"] and reads.search(p).count() == 3
+    assert sorted(map(tuple, reads.store_rollup(p).collect())) == [("s", 2, 1, 5, 2), ("t", 1, 1, 1, 3)]
+    runs = spark.createDataFrame([(k, k // 2) for k in range(30)], "run_id long, started_at long")
+    assert [r["run_id"] for r in reads.last_runs(runs).collect()] == list(range(10, 30))
+
+
+def test_common_subsequence_of_short_and_long_strings(spark):
+    import random
+
+    from shelfwise.functions import similarity
+
+    def plain(a, b):
+        line = [0] * (len(b) + 1)
+        for x in a:
+            before = list(line)
+            for j, y in enumerate(b, 1):
+                line[j] = before[j - 1] + 1 if x == y else max(before[j], line[j - 1])
+        return line[-1]
+
+    r = random.Random(3)
+    made = [("".join(r.choice("abcdé ") for _ in range(r.choice((0, 1, 5, 30, 61, 62, 63, 90)))), "".join(r.choice("abcdé ") for _ in range(r.choice((0, 2, 20, 62, 63, 100))))) for _ in range(150)]
+    got = spark.createDataFrame(made, "a string, b string").select("a", "b", F.expr(similarity.lcs("a", "b")).alias("n")).collect()
+    assert all(x["n"] == plain(x["a"], x["b"]) for x in got)
