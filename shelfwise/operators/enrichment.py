@@ -6,13 +6,13 @@ from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.config import RuleSet
 from shelfwise.functions.text import cache_key
 from shelfwise.operators import steps
 from shelfwise.operators.catalogue import bump_hits
+from shelfwise.operators.ranking import ranked
 from shelfwise.session import settled
 
 #: Multipliers on the input price, and for asynchronous batches.
@@ -43,15 +43,10 @@ def not_cached(labels: DataFrame, cache: DataFrame, key: Column) -> DataFrame:
     return labels.withColumn("cache_key", key).join(cache.select("cache_key"), "cache_key", "left_anti")
 
 
-def batches(labels: DataFrame, size: int = BATCH_SIZE, groups: int = 1) -> DataFrame:
-    """(part, batch, labels): consecutive runs of `size` labels.
-
-    With `groups` above 1, labels are first dealt over that many hash parts, so that no single task
-    numbers them all.
-    """
-    parted = labels.withColumn("part", F.pmod(F.xxhash64("label"), F.lit(groups)))
-    numbered = parted.withColumn("rn", F.row_number().over(W.partitionBy("part").orderBy("first_seq", "label")))
-    return numbered.groupBy("part", F.floor((F.col("rn") - 1) / size).alias("batch")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "label"))), lambda x: x["label"]).alias("labels"))
+def batches(labels: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
+    """(batch, labels): consecutive runs of `size` labels in order of their first row."""
+    numbered = ranked(labels.select("label", "first_seq"), "rn", "first_seq", "label")
+    return numbered.groupBy(F.floor((F.col("rn") - 1) / size).alias("batch")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "label"))), lambda x: x["label"]).alias("labels"))
 
 
 def cost(price: Price, input_tokens: Column, output_tokens: Column, cache_read: Column, cache_write: Column, batch: bool = False) -> Column:

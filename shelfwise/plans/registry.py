@@ -307,8 +307,9 @@ def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SMALL}, {_PAIRED} SELECT l, r, {oracle.lcs('a', 'b')} AS common, round(2.0 * {oracle.lcs('a', 'b')} / (length(a) + length(b)), 9) AS ratio FROM few")
 def lcs_similarity(spark, sf_dir):
-    a, b = "l_label_normalized", "r_label_normalized"
-    return _paired(spark, sf_dir).select(F.col("l_id").alias("l"), F.col("r_id").alias("r"), F.expr(similarity.lcs(a, b)).cast("long").alias("common"), F.round(F.expr(similarity.ratio(a, b)), 9).alias("ratio"))
+    a, b = F.col("l_label_normalized"), F.col("r_label_normalized")
+    measured = _paired(spark, sf_dir).withColumn("common", similarity.lcs_length(a, b).cast("long"))
+    return measured.select(F.col("l_id").alias("l"), F.col("r_id").alias("r"), "common", F.round(2.0 * F.col("common") / (F.length(a) + F.length(b)), 9).alias("ratio"))
 
 
 _TOKENS = f"""toks AS (

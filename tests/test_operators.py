@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from shelfwise.config import LEVELS, RuleSet, Thresholds
 from shelfwise.operators import catalogue, enrichment, golden, reads, resolution, routing, steps
 from shelfwise.operators.components import components
+from shelfwise.operators.ranking import ranked
 from shelfwise.plans import pipeline
 from shelfwise.session import settled
 from shelfwise.sources import listing, sinks
@@ -360,6 +361,13 @@ def test_enrichment_run_asks_each_label_once(spark, rules):
     assert model.asked[2] == [] and other.counters.first()["queued"] == 7
 
 
+def test_ranks_over_partitions(spark):
+    df = spark.range(0, 1000, 1, 7).select((F.col("id") * 7919 % 1009).alias("x"), F.lit("n").alias("name"))
+    got = ranked(df, "rn", F.desc("x")).orderBy("rn").collect()
+    assert [r["rn"] for r in got] == list(range(1, 1001)) and [r["x"] for r in got] == sorted((r["x"] for r in got), reverse=True)
+    assert ranked(df.where("1 = 0"), "rn", "x").count() == 0
+
+
 def test_reads(spark):
     p = spark.createDataFrame([("s", "50% OFF", True, 2, 1), ("s", "500 off", False, 3, 2), ("t", None, True, 1, 3)], "store_id string, label string, publishable boolean, source_rows long, updated_at long")
     assert [r["label"] for r in reads.search(p, "0% o").collect()] == ["50% OFF"] and reads.search(p).count() == 3
@@ -383,5 +391,7 @@ def test_common_subsequence_of_short_and_long_strings(spark):
 
     r = random.Random(3)
     made = [("".join(r.choice("abcdé ") for _ in range(r.choice((0, 1, 5, 30, 61, 62, 63, 90)))), "".join(r.choice("abcdé ") for _ in range(r.choice((0, 2, 20, 62, 63, 100))))) for _ in range(150)]
-    got = spark.createDataFrame(made, "a string, b string").select("a", "b", F.expr(similarity.lcs("a", "b")).alias("n")).collect()
-    assert all(x["n"] == plain(x["a"], x["b"]) for x in got)
+    got = spark.createDataFrame(made, "a string, b string").select("a", "b", F.expr(similarity.lcs("a", "b")).alias("n"), similarity.lcs_length("a", "b").alias("m")).collect()
+    assert all(x["n"] == x["m"] == plain(x["a"], x["b"]) for x in got)
+    wide = spark.createDataFrame([(None, "a"), ("ab" * 3000, "ba" * 2999), ("x\0y", "x\0\0"), ("", "")], "a string, b string")
+    assert sorted(r[0] for r in wide.select(similarity.lcs_length("a", "b")).collect()) == [0, 0, 2, 5998]
