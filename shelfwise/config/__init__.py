@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields, replace
 from functools import cached_property
 from pathlib import Path
 from typing import Any
@@ -87,3 +89,30 @@ def _mapping(path: Path) -> dict[str, Any]:
     if not isinstance(content, dict):
         raise ValueError(f"{path} does not hold a mapping")
     return content
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What a deployment sets: read from variables `SHELFWISE_<FIELD>`; a value that does not fit its type raises ValueError."""
+
+    network: bool = False
+    model: str = "none"
+    max_calls: int = 500
+    max_cost_usd: float = 5.0
+    cache_hours: int = 24
+
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] | None = None, prefix: str = "SHELFWISE_") -> Settings:
+        found, given = os.environ if env is None else env, {}
+        for f in fields(cls):
+            raw = found.get(prefix + f.name.upper())
+            if raw is None:
+                continue
+            kind = type(f.default)
+            if kind is bool:
+                if raw.lower() not in ("0", "1", "true", "false"):
+                    raise ValueError(f"{prefix}{f.name.upper()} is neither true nor false: {raw!r}")
+                given[f.name] = raw.lower() in ("1", "true")
+            else:
+                given[f.name] = kind(raw)
+        return cls(**given)

@@ -179,3 +179,21 @@ def lookup_previous_run(runs: DataFrame, store: str, sha256: str) -> DataFrame:
 
 def sweep_orphans(runs: DataFrame) -> DataFrame:
     return runs.withColumn("status", F.when(F.col("status") == "RUNNING", "FAILED").otherwise(F.col("status")))
+
+
+def append_spend(spend: DataFrame, run: DataFrame) -> DataFrame:
+    """`spend` with the (run_id, at, calls, cost_usd) of runs that made calls."""
+    return spend.unionByName(run.where("calls > 0").select(*spend.columns))
+
+
+def spent_since(spend: DataFrame, since: Column) -> DataFrame:
+    """One row: what was spent and in how many runs since a time; zeros where there is none."""
+    return spend.where(F.col("at") >= since).agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("spent_usd"), F.count(F.lit(1)).alias("runs"))
+
+
+def tasks_with_products(tasks: DataFrame, products: DataFrame) -> DataFrame:
+    """Each task with the id of its product: by its key, else, for a task without one, by its title as the label."""
+    by_key = products.select("store_id", "product_key", F.col("id").alias("_by_key"))
+    by_label = products.groupBy("store_id", F.col("label").alias("title")).agg(F.min("id").alias("_by_label"))
+    found = tasks.join(by_key, ["store_id", "product_key"], "left").join(by_label, ["store_id", "title"], "left")
+    return found.withColumn("product_id", F.when(F.col("product_key").isNotNull(), F.col("_by_key")).otherwise(F.col("_by_label"))).drop("_by_key", "_by_label")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from shelfwise.config import LEVELS
 from shelfwise.functions import url
+from shelfwise.session import settled
 
 COLUMNS = ("id_produit", "ean", "nom", "url_image", *LEVELS, "tva")
 STORE = re.compile(r"^[\w-]{1,64}$")
@@ -94,11 +96,12 @@ def to_check(listing: DataFrame, known: DataFrame, column: str = "url_image") ->
     return wanted.join(known.select("url"), "url", "left_anti").withColumn("domain", url.domain_of(F.col("url")))
 
 
-def probe(urls: DataFrame, prober, parts: int = 32) -> DataFrame:
-    """(url, ok, reason, status_code) from `prober(domain, urls) -> rows`, called once a domain in each part.
+def probe(urls: DataFrame, prober, parts: int = 32, resolver=None) -> DataFrame:
+    """(url, ok, reason, status_code) from `prober(domain, urls) -> rows`, called for the addresses of a domain in turn.
 
-    The prober does the network work; there is none by default.  Domains share no state across
-    parts, and one domain stays in one part, so that its limits hold.
+    The prober does the network work; there is none by default.  One domain stays in one task, so
+    that its limits hold; its addresses stream through it.  With `resolver(domain) -> bool` every
+    domain is resolved once, and none of the addresses of one that does not resolve is probed.
     """
     import pandas as pd
 
@@ -107,4 +110,47 @@ def probe(urls: DataFrame, prober, parts: int = 32) -> DataFrame:
             rows = [row for domain, group in frame.groupby("domain", sort=False) for row in prober(domain, group["url"].tolist())]
             yield pd.DataFrame(rows, columns=["url", "ok", "reason", "status_code"])
 
-    return urls.repartition(parts, "domain").mapInPandas(run, "url string, ok boolean, reason string, status_code int")
+    def resolve(frames):
+        for frame in frames:
+            yield frame.assign(alive=[bool(resolver(d)) for d in frame["domain"]])
+
+    verdict = "url string, ok boolean, reason string, status_code int"
+    if resolver is None:
+        return urls.repartition(parts, "domain").mapInPandas(run, verdict)
+    domains = settled(urls.select("domain").distinct().mapInPandas(resolve, "domain string, alive boolean"))
+    told = urls.join(domains, "domain")
+    dead = told.where("not alive").select("url", F.lit(False).alias("ok"), F.lit("dns").alias("reason"), F.lit(None).cast("int").alias("status_code"))
+    return told.where("alive").select("url", "domain").repartition(parts, "domain").mapInPandas(run, verdict).unionByName(dead)
+
+
+def polite_prober(head, get, retries: int = 2, backoff: float = 0.2, sleep=time.sleep):
+    """A prober from two calls `(url) -> status code`, which raise OSError where there is no answer.
+
+    HEAD comes first; where a domain answers 403 or 405 to it, a ranged GET follows, for the rest of
+    the domain at once.  Codes from 200 to 399 are good.  No answer is asked for again after a pause
+    that doubles.
+    """
+
+    def prober(domain, urls):
+        by_get, rows = False, []
+        for address in urls:
+            for turn in range(retries + 1):
+                try:
+                    code = get(address) if by_get else head(address)
+                    if not by_get and code in (403, 405):
+                        by_get, code = True, get(address)
+                    rows.append((address, 200 <= code < 400, "ok" if 200 <= code < 400 else f"http_{code}", code))
+                    break
+                except OSError as error:
+                    if turn == retries:
+                        rows.append((address, False, "timeout" if isinstance(error, TimeoutError) else "network", None))
+                    else:
+                        sleep(backoff * 2**turn)
+        return rows
+
+    return prober
+
+
+def network_verdicts(statuses: DataFrame) -> DataFrame:
+    """What of a check may be kept for later runs: verdicts that an answer or its lack gave, not those of an address's form."""
+    return statuses.where(F.col("ok") | F.col("status_code").isNotNull() | F.col("reason").isin("dns", "timeout", "network"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.config import LEVELS, RuleSet, Thresholds
+from shelfwise.config import LEVELS, RuleSet, Settings, Thresholds
 from shelfwise.operators import catalogue, enrichment, golden, reads, resolution, routing, steps
 from shelfwise.operators.components import components
 from shelfwise.operators.ranking import ranked
@@ -395,3 +395,66 @@ def test_common_subsequence_of_short_and_long_strings(spark):
     assert all(x["n"] == x["m"] == plain(x["a"], x["b"]) for x in got)
     wide = spark.createDataFrame([(None, "a"), ("ab" * 3000, "ba" * 2999), ("x\0y", "x\0\0"), ("", "")], "a string, b string")
     assert sorted(r[0] for r in wide.select(similarity.lcs_length("a", "b")).collect()) == [0, 0, 2, 5998]
+
+
+def test_polite_prober_and_dead_domains(spark):
+    calls, pauses = [], []
+
+    def head(address):
+        calls.append(("head", address))
+        if address.endswith("slow"):
+            raise TimeoutError
+        return 405 if "shy" in address else 404 if address.endswith("gone") else 200
+
+    def get(address):
+        calls.append(("get", address))
+        return 206
+
+    prober = listing.polite_prober(head, get, sleep=pauses.append)
+    assert [r[1:] for r in prober("x", ["x/a", "x/gone", "x/slow"])] == [(True, "ok", 200), (False, "http_404", 404), (False, "timeout", None)]
+    assert pauses == [0.2, 0.4]
+    calls.clear()
+    assert all(r[1] for r in prober("shy", ["shy/1", "shy/2"])) and calls == [("head", "shy/1"), ("get", "shy/1"), ("get", "shy/2")]
+    wanted = spark.createDataFrame([("a/1", "a"), ("a/2", "a"), ("b/1", "b")], "url string, domain string")
+    got = listing.probe(wanted, lambda domain, urls: [(u, True, "ok", 200) for u in urls], 2, lambda domain: domain == "a")
+    assert sorted((r["url"], r["ok"], r["reason"]) for r in got.collect()) == [("a/1", True, "ok"), ("a/2", True, "ok"), ("b/1", False, "dns")]
+    kept = listing.network_verdicts(spark.createDataFrame([("a", True, "ok", 200), ("b", False, "dns", None), ("c", False, "unsupported", None)], "url string, ok boolean, reason string, status_code int"))
+    assert sorted(r["url"] for r in kept.collect()) == ["a", "b"]
+
+
+def test_settings_come_from_the_environment():
+    got = Settings.from_env({"SHELFWISE_NETWORK": "true", "SHELFWISE_MAX_CALLS": "7", "OTHER": "x"})
+    assert got == Settings(network=True, max_calls=7)
+    for wrong in ({"SHELFWISE_NETWORK": "maybe"}, {"SHELFWISE_MAX_CALLS": "many"}):
+        with pytest.raises(ValueError):
+            Settings.from_env(wrong)
+
+
+def test_spend_and_tasks(spark):
+    spend = spark.createDataFrame([("r0", 1, 2, 0.5)], "run_id string, at long, calls long, cost_usd double")
+    runs = spark.createDataFrame([("r1", 5, 3, 0.25), ("r2", 6, 0, 9.0)], spend.schema)
+    kept = catalogue.append_spend(spend, runs)
+    assert tuple(catalogue.spent_since(kept, F.lit(5)).first()) == (0.25, 1) and tuple(catalogue.spent_since(kept, F.lit(9)).first()) == (0.0, 0)
+    products = spark.createDataFrame([("s", "K", 1, "A"), ("s", "L", 2, "B"), ("t", "K", 3, "A")], "store_id string, product_key string, id long, label string")
+    tasks = spark.createDataFrame([("s", "K", "Z"), ("s", None, "B"), ("s", "gone", "A")], "store_id string, product_key string, title string")
+    assert sorted((r["title"], r["product_id"]) for r in catalogue.tasks_with_products(tasks, products).collect()) == [("A", None), ("B", 2), ("Z", 1)]
+
+
+def test_deposits_keep_the_catalogue(spark, tmp_path):
+    folder, state = tmp_path / "in", str(tmp_path / "catalogue")
+    folder.mkdir()
+    line = lambda k, name, tva="5.5": f"{k},3017620422003,{name},https://a/x,{','.join(PATH)},{tva}\n"
+    spark.createDataFrame([("shop", "COCA COLA 1L", "label", "Human name")], "store_id string, product_key string, field_name string, value string").write.parquet(f"{state}/overrides")
+    deposits = inbox.Deposits(state, statuses=good_statuses(spark))
+    (folder / "shop_1.csv").write_text(HEADER + "\n" + line(1, "COCA COLA 1L") + line(2, "PEPSI COLA 1L") + line(3, "COCA COLA 1L"))
+    (folder / "other_1.csv").write_text(HEADER + "\n" + line(9, "COCA COLA 1L"))
+    inbox.process(spark, str(folder), str(tmp_path / "stream"), deposits).awaitTermination()
+    held = lambda: sorted((r["store_id"], r["product_key"], r["label"], r["source_rows"], r["change"]) for r in deposits.read(spark, "products").collect())
+    assert held() == [("other", "COCA COLA 1L", "COCA COLA 1L", 1, "inserted"), ("shop", "COCA COLA 1L", "Human name", 2, "inserted"), ("shop", "PEPSI COLA 1L", "PEPSI COLA 1L", 1, "inserted")]
+    (folder / "shop_2.csv").write_text(HEADER + "\n" + line(4, "COCA COLA 1L") + line(5, "FANTA CITRON 2L"))
+    (folder / "bad_1.csv").write_text(HEADER + "\n" + "".join(f"{k},x,,ftp://x,A,B,C,D,33\n" for k in range(5)))
+    inbox.process(spark, str(folder), str(tmp_path / "stream"), deposits).awaitTermination()
+    assert held() == [("other", "COCA COLA 1L", "COCA COLA 1L", 1, "inserted"), ("shop", "COCA COLA 1L", "Human name", 1, "updated"), ("shop", "FANTA CITRON 2L", "FANTA CITRON 2L", 1, "inserted")]
+    routes = {r["file"].rsplit("/", 1)[-1]: (r["route"], r["rows"]) for r in deposits.read(spark, "routes").collect()}
+    assert routes == {"shop_1.csv": ("processed", 3), "other_1.csv": ("processed", 1), "shop_2.csv": ("processed", 2), "bad_1.csv": ("quarantine", 5)}
+    assert sorted((r["store_id"], r["row_id"]) for r in deposits.read(spark, "lineage").collect()) == [("other", "9"), ("shop", "4"), ("shop", "5")]
