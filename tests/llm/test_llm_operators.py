@@ -498,6 +498,16 @@ def test_sharding(docs, empty):
     names = sharding.shard_names(7)
     owner = sharding.lookup_table(names, 101)
     assert max(owner.count(k) for k in range(7)) - min(owner.count(k) for k in range(7)) <= 1
+    taken, turn = {}, 0  # the fill by whole preference lists, claimed in turns
+    lists = []
+    for name in names:
+        digest = hashlib.sha256(name.encode()).digest()
+        offset, skip = int.from_bytes(digest[:8], "big") % 101, int.from_bytes(digest[8:16], "big") % 100 + 1
+        lists.append([(offset + k * skip) % 101 for k in range(101)])
+    while len(taken) < 101:
+        taken[next(slot for slot in lists[turn % 7] if slot not in taken)] = turn % 7
+        turn += 1
+    assert owner == [taken[slot] for slot in range(101)]
     fewer = sharding.lookup_table(names[:-1], 101)
     assert sum(a != b for a, b in zip(owner, fewer, strict=True) if a != 6) < 35
     got = sharding.place(docs, shards=names, slots=101).collect()
