@@ -635,8 +635,9 @@ def recent_events_ttl(spark, sf_dir):
 # --- without SQL: C1 exact, C6, O1, the whole run ---
 
 
-@query()
-def mojibake_repair(spark, sf_dir):
+@query(f"""WITH {LISTED}, n AS (SELECT DISTINCT nom FROM listing) SELECT nom, array_to_string(list_transform(regexp_extract_all(hex(encode(nom)), '..'), lambda h: chr(('0x' || h)::INT)), '') AS spoiled,
+trim(regexp_replace(nom, '\\s+', ' ', 'g')) AS repaired, strip_accents(nom) AS plain FROM n""")
+def mojibake_repair(spark, sf_dir):  # C1, C6
     """Names spoiled by reading UTF-8 as Latin-1, and repaired."""
     names = listing(spark, sf_dir).select("nom").distinct()
     spoiled = F.decode(F.encode("nom", "UTF-8"), "ISO-8859-1")
