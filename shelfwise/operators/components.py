@@ -24,7 +24,7 @@ def _least_neighbour(arcs: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     arcs = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _least_neighbour(arcs)
-    return arcs.join(least, arcs["u"] == least["node"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return arcs.join(least, arcs["u"] == least["node"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
