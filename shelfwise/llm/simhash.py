@@ -127,7 +127,7 @@ SIMILARITY = 0.8
 SAMPLE, OFTEN, COMMON = 16, 3, 1 << 16
 #: Most rounds in which each bucket compares its rows with one of them, before all its pairs across classes are compared;
 #: there are none once those pairs are at most so many a row, or less than that share of a round's pairs did link.
-STAR_ROUNDS, FEW_PAIRS, LEAST_LINKED = 4, 1, 0.1
+STAR_ROUNDS, FEW_PAIRS, LEAST_LINKED = 4, 1, 0.5
 #: At most so many rows of two longs are broadcast to a join, beyond it is shuffled; sets that a verifying task remembers.
 BROADCAST_ROWS, SETS = 500_000, 32
 #: Sets that a task remembers to have named.
