@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.llm._common import slices, table
 
-#: What a worker remembers while it is at a partition: words and pretokens in two generations each, and pairs of tokens.
-MEMO_WORDS, MEMO_PRETOKENS, MEMO_PAIRS = 60_000, 150_000, 250_000
+#: What a worker remembers, of a partition or of all it comes to: words and pretokens in two generations each, and pairs of tokens.
+MEMO_WORDS, MEMO_PRETOKENS, MEMO_PAIRS = 80_000, 300_000, 400_000
 #: Longer pretokens are streamed and not remembered.
 MEMO_CHARS = 64
 #: Characters of a text that are cut into words, and encoded, at a time.
@@ -372,12 +372,13 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def digests(documents: DataFrame, path: str) -> DataFrame:
+def digests(documents: DataFrame, path: str, remember: bool = False) -> DataFrame:
     """For each row: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     The whole text is encoded; a null text counts as empty and has no tokens.  Repeated rows get
     equal results, a null doc_id is carried along, an empty table gives an empty result, and
-    columns other than doc_id and text are not read.
+    columns other than doc_id and text are not read.  With `remember` a worker keeps its tables of
+    encodings from one partition to the next; they are of fixed size, but stay while it idles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +386,8 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
         for batch in slices(batches, 4096):
             rows = [coder.digest(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        coder.forget()
+        if not remember:
+            coder.forget()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -418,4 +420,4 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), vocabulary())
+    return digests(table(spark, sf_dir, "documents"), vocabulary(), remember=True)
