@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.session import ensure_checkpoint_dir, settled
 
-__all__ = ["ascii_lower", "ensure_checkpoint_dir", "settled", "slices", "stored", "table", "unit_interval", "unused", "word_count"]
+__all__ = ["ascii_lower", "ensure_checkpoint_dir", "release", "settled", "slices", "stored", "table", "unit_interval", "unused", "word_count"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -41,6 +41,11 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which Spark deletes the shuffle files of frames that are gone."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in parts of a few rows, so that their Python objects are few at a time."""
     for batch in batches:

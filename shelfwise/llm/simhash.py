@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfwise.llm._common import settled, slices, stored, table, unused
+from shelfwise.llm._common import release, settled, slices, stored, table, unused
 from shelfwise.llm.components import components
 
 SHINGLE = 3
@@ -93,11 +93,19 @@ def _signatures(nodes: DataFrame, side: int) -> DataFrame:
     return nodes.select("fp", F.explode(F.expr(f"concat({', '.join(lists)})")).alias("sig"))
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Pairs (u, v) of distinct fingerprints that differ in 1 to `distance` bits; each pair once or twice."""
+def links(nodes: DataFrame, distance: int = DISTANCE, crowd: int | None = None) -> DataFrame:
+    """Pairs (u, v) of distinct fingerprints that differ in 1 to `distance` bits; each pair once or twice.
+
+    With a `crowd`, signatures of more fingerprints than that are met by the least of them only, for
+    callers that have another way for the pairs left out.
+    """
     if distance >= 2 * (BITS // SEGMENT_BITS):
         raise ValueError("two segments with one wildcard find up to three differing bits")
-    zero, one = _signatures(nodes, 0).alias("a"), _signatures(nodes, 1).alias("b")
+    zero, one = _signatures(nodes, 0), _signatures(nodes, 1).alias("b")
+    if crowd is not None:
+        of_sig = W.partitionBy("sig")
+        zero = zero.withColumn("least", F.min("fp").over(of_sig)).withColumn("n", F.count(F.lit(1)).over(of_sig)).where((F.col("n") <= crowd) | (F.col("fp") == F.col("least"))).select("fp", "sig")
+    zero = zero.alias("a")
     close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance
     return zero.join(one, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.fp") != F.col("b.fp")) & close).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
@@ -123,6 +131,8 @@ def cluster(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED, dist
 #: The near copies of `near_copies`: words a shingle, and the share of common shingles that makes a link.
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
+#: Fingerprints of one signature that are all held against each other; more are held against the least of them.
+CROWD = 64
 #: Shingles met so often in one of `SAMPLE` texts are common, the most frequent `COMMON` of them; they come last in a text's order.
 SAMPLE, OFTEN, COMMON = 16, 3, 1 << 16
 #: Most rounds in which each bucket compares its rows with one of them, before all its pairs across classes are compared;
@@ -206,16 +216,17 @@ def common_shingles(documents: DataFrame, shingle: int = NEAR_SHINGLE) -> tuple[
 
 
 def _marked(documents: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, key, id, n, bits) for each row; key is a hash of the text, equal shingle sets have equal ids, n is the set's size."""
+    """(doc_id, key, fp, id, n, bits) for each row: a hash of the text, its fingerprint, the id that equal shingle sets share, the set's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
+            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
             sets = [shingle_set(t.as_py(), shingle) for t in batch.column(2)]
-            made = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "key", "id", "n", "bits"])
+            made = [pa.array(fps.view(np.int64)), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "key", "fp", "id", "n", "bits"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, id long, n int, bits array<bigint>")
+    return documents.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, fp long, id long, n int, bits array<bigint>")
 
 
 def _postings(documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -332,19 +343,52 @@ def near_index(documents: DataFrame, shingle: int = NEAR_SHINGLE, similarity: fl
     return stored(rare.unionByName(often), "near-copies-index")
 
 
+def fingerprint_pairs(marked: DataFrame) -> DataFrame:
+    """(u, v): ids of sets whose texts' fingerprints are equal or link, as `cluster` links them.
+
+    The least id stands for a fingerprint: the other ids of the fingerprint are paired with it, and so
+    are the least ids of fingerprints that differ in a few bits.
+    """
+    nodes = settled(marked.groupBy("fp").agg(F.min("id").alias("least"), F.max("id").alias("most")))
+    met = settled(links(nodes.select("fp"), crowd=CROWD))
+    hint = F.broadcast if met.count() <= BROADCAST_ROWS else (lambda df: df)
+    alike = marked.select("fp", "id").join(_small(nodes.where("least <> most").select("fp", "least")), "fp").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    from_u = nodes.select(F.col("fp").alias("u"), F.col("least").alias("a")).join(hint(met), "u")
+    near = nodes.select(F.col("fp").alias("v"), F.col("least").alias("b")).join(hint(from_u), "v").select("a", "b")
+    return alike.unionByName(near).where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def _least_linked(linked: DataFrame) -> DataFrame:
+    """(node, root) for each node with a link; root is the least of the node and what it links to.
+
+    Nodes of one root are of one component, though a component may have several roots: what is
+    compared may be grouped so without the rounds of `components`.
+    """
+    arcs = linked.unionByName(linked.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return arcs.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("root"))
+
+
 def near_links(documents: DataFrame, marked: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (u, v) of ids with verified links whose components are those of all pairs that are similar enough.
 
-    Texts with a shared shingle in their prefixes are a bucket.  In each of a few rounds every bucket
-    compares its members with one of them, and what links becomes a class.  Then all pairs of a
-    bucket are compared that are of different classes.  A pair that is not compared is of one class.
-    The one row is first the one that shares most of its prefix, as the original of edited copies
-    does; later it is one of the bucket's largest class, a different one each round.
+    The pairs whose fingerprints link come first, each held against its whole sets, and what is
+    similar enough becomes a class.  Fingerprints tell nothing of the pairs that they do not link,
+    so these are searched exactly: texts with a shared shingle in their prefixes are a bucket.  In
+    each of a few rounds every bucket compares its members with one of them of another class, and
+    what links becomes a class.  Then all pairs of a bucket are compared that are of different
+    classes.  A pair that is not compared is of one class.  The one row is first the one that shares
+    most of its prefix, as the original of edited copies does; later it is one of the bucket's
+    largest class, a different one each round.
     """
     index = near_index(documents, shingle, similarity)
     sketches, texts = _indexed(documents, marked, index)
+    met = settled(fingerprint_pairs(marked))
+    ends = _small(settled(met.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
+    linked = _tested(met, sketches.join(ends, "id", "left_semi"), texts, shingle, similarity)
+    classes = _small(settled(_least_linked(linked)))
+    release(documents.sparkSession)
     shared = settled(index.groupBy("id").agg(F.count(F.lit(1)).alias("size")))
-    rows, linked = index.join(shared, "id").select("sig", "id", "n", "pos", F.col("id").alias("root"), "size"), None
+    rows = index.join(shared, "id").join(classes, F.col("id") == F.col("node"), "left").select("sig", "id", "n", "pos", F.coalesce("root", "id").alias("root"), "size")
     most, fruitful = FEW_PAIRS * index.count(), True
     for turn in range(STAR_ROUNDS + 1):
         last = turn == STAR_ROUNDS or not fruitful or _meetings(rows) <= most
@@ -357,7 +401,7 @@ def near_links(documents: DataFrame, marked: DataFrame, shingle: int = NEAR_SHIN
         new = _tested(pairs, sketches, texts, shingle, similarity)
         found = new.count()
         fruitful = found >= LEAST_LINKED * pairs.count()
-        linked = new if linked is None else linked.unionByName(new)
+        linked = linked.unionByName(new)
         if last:
             break
         if found:
@@ -366,6 +410,7 @@ def near_links(documents: DataFrame, marked: DataFrame, shingle: int = NEAR_SHIN
             rows = index.join(classes, index["id"] == classes["node"], "left").select(*index.columns, F.coalesce("root", "id").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
             mixed = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
             rows = stored(rows.join(mixed, "sig", "left_semi"), "near-copies-rows")
+            release(documents.sparkSession)
     return linked
 
 
@@ -385,8 +430,8 @@ def near_copies(documents: DataFrame, shingle: int = NEAR_SHINGLE, similarity: f
     """(doc_id, component_id) of every row with a doc_id: near copies by word shingles, none missed.
 
     Two texts link when their sets of `shingle`-word shingles have a Jaccard similarity of at least
-    `similarity`; equal sets are one node.  Candidates are texts that share a shingle in the prefixes
-    of their sets, as all such pairs do.  component_id is the smallest doc_id that links reach.  Texts
+    `similarity`; equal sets are one node.  Candidates are texts whose fingerprints link and, of
+    the others, those that share a shingle in the prefixes of their sets, as all such pairs do.  component_id is the smallest doc_id that links reach.  Texts
     without words, null included, are one node.  Rows without a doc_id are left out; an empty table
     gives an empty result; other columns are not read.
     """

@@ -171,6 +171,44 @@ def test_near_copies_misses_no_kind_of_edit(spark):
     assert len({c for _, c in want}) < len(want) - 200
 
 
+def test_near_copies_are_linked_by_fingerprints(spark, monkeypatch):
+    """Without the search by prefixes the links are those of fingerprints with sets that are similar enough."""
+    r, made = random.Random(13), []
+    for k in range(40):
+        base = prose(400, 3000 + k).split()
+        made.append((10 * k, " ".join(base)))
+        for n in range(1, 5):
+            copy = list(base)
+            copy[r.randrange(len(copy))] = r.choice(VOCABULARY)
+            made.append((10 * k + n, " ".join(copy)))
+    passage = prose(5, 78) + " "
+    made += [(1000, passage * 300 + prose(40, 79)), (1001, passage * 300 + prose(40, 80))]  # near fingerprints, unlike sets
+    prints = [plain_fingerprint(t) for _, t in made]
+    group = list(range(len(made)))
+    for a, b in itertools.combinations(range(len(made)), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 3 and len({c for _, c in near_classes([made[a], made[b]])}) == 1:
+            x, y = group[a], group[b]
+            group = [min(x, y) if g in (x, y) else g for g in group]
+    want = {(d, made[g][0]) for (d, _), g in zip(made, group, strict=True)}
+    assert (prints[-1] ^ prints[-2]).bit_count() <= 3 and 40 < len({c for _, c in want}) < 150
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    with monkeypatch.context() as only:
+        only.setattr(simhash, "_may_link", lambda a, b, similarity: F.lit(False))
+        assert {tuple(x) for x in simhash.near_copies(df).collect()} == want
+    monkeypatch.setattr(simhash, "CROWD", 1)
+    assert {tuple(x) for x in simhash.near_copies(df).collect()} == near_classes(made)
+
+
+def test_simhash_crowded_signatures(spark):
+    """A crowd keeps true links only, reaches every fingerprint of a signature by its least, and leaves smaller ones whole."""
+    near = [(5 << 40) | k for k in (0, 1, 2, 4, 8, 16, 3, 5)]
+    nodes = spark.createDataFrame([(x,) for x in [*near, 77 << 33, (77 << 33) | 64]], "fp long")
+    every = {tuple(sorted(p)) for p in simhash.links(nodes).collect()}
+    assert {tuple(sorted(p)) for p in simhash.links(nodes, crowd=64).collect()} == every
+    few = {tuple(sorted(p)) for p in simhash.links(nodes, crowd=2).collect()}
+    assert few < every and {(near[0], x) for x in near[1:]} <= few and (77 << 33, (77 << 33) | 64) in few
+
+
 def test_near_dedup_drops_rows_not_doc_ids(spark):
     one, other, copy = prose(80, 21), prose(80, 22), prose(80, 21) + " tail"
     made = [(1, one, "a"), (1, one, "b"), (2, copy, "c"), (2, other, "d"), (3, other, "e"), (None, one, "f"), (None, one, "g")]
