@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -215,18 +215,27 @@ def common_shingles(documents: DataFrame, shingle: int = NEAR_SHINGLE) -> tuple[
     return hashes[order], ranks[order]
 
 
-def _marked(documents: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, key, fp, id, n, bits) for each row: a hash of the text, its fingerprint, the id that equal shingle sets share, the set's size."""
+def _marks(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches (doc_id, key, text) to those of `_marked`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(2)]
-            made = [pa.array(fps.view(np.int64)), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))]
+            fps, ids, sizes, bits = [], [], [], []
+            for t in batch.column(2):  # one set at a time: those of long texts are large
+                text = t.as_py()
+                s = shingle_set(text, shingle)
+                for column, value in ((fps, fingerprint(text)), (ids, set_id(s)), (sizes, len(s)), (bits, parities(s))):
+                    column.append(value)
+            made = [pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "key", "fp", "id", "n", "bits"])
 
+    return run
+
+
+def _marked(documents: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, key, fp, id, n, bits) for each row: a hash of the text, its fingerprint, the id that equal shingle sets share, the set's size."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, fp long, id long, n int, bits array<bigint>")
+    return documents.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_marks(shingle), f"doc_id {kind}, key long, fp long, id long, n int, bits array<bigint>")
 
 
 def _postings(documents: DataFrame, shingle: int, similarity: float) -> DataFrame:

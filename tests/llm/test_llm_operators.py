@@ -5,8 +5,10 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -199,6 +201,28 @@ def test_near_copies_are_linked_by_fingerprints(spark, monkeypatch):
     assert {tuple(x) for x in simhash.near_copies(df).collect()} == near_classes(made)
 
 
+def test_near_copies_mark_long_texts_one_set_at_a_time():
+    words = [f"w{k}" for k in range(2000)]
+    texts = [" ".join(random.Random(k).choices(words, k=4000)) for k in range(40)] + ["", None, "One two", "one TWO"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "key", "text"])
+
+    def peak(rows):
+        tracemalloc.start()
+        got = list(simhash._marks(simhash.NEAR_SHINGLE)(iter([batch.slice(0, rows)])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most, pa.Table.from_batches(got).to_pylist()
+
+    one, _ = peak(1)
+    every, got = peak(len(texts))
+    whole = sum(simhash.shingle_set(t).nbytes for t in texts)
+    assert every - one < whole / 2
+    for row, text in zip(got, texts, strict=True):
+        shingles = simhash.shingle_set(text)
+        assert row["fp"] % (1 << simhash.BITS) == simhash.fingerprint(text) and row["id"] == simhash.set_id(shingles)
+        assert row["n"] == len(shingles) and row["bits"] == simhash.parities(shingles).tolist()
+
+
 def test_simhash_crowded_signatures(spark):
     """A crowd keeps true links only, reaches every fingerprint of a signature by its least, and leaves smaller ones whole."""
     near = [(5 << 40) | k for k in (0, 1, 2, 4, 8, 16, 3, 5)]
